@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import syncmers, warc
+from . import jaccard, quality, syncmers, toxicity, warc
 
 
 def queries():
     return {
         "op4_syncmer_fingerprints": syncmers.query,
+        "op6_ngram_jaccard_join": jaccard.query,
         "op8_warc_index_first": warc.query,
+        "op9_nb_svm_quality": quality.query,
+        "op10_ftrl_toxicity": toxicity.query,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op6_ngram_jaccard_join": jaccard.ORACLE}
