@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import jaccard, quality, syncmers, toxicity, warc
+from . import decontaminate, html_text, jaccard, mixing, pii, quality, quotes, syncmers, toxicity, warc
 
 
 def queries():
     return {
+        "op1_quotation_linking": quotes.query,
+        "op2_tag_path_ratios": html_text.query,
+        "op3_pigeonhole_decontamination": decontaminate.query,
         "op4_syncmer_fingerprints": syncmers.query,
+        "op5_min_cost_flow_mixing": mixing.query,
         "op6_ngram_jaccard_join": jaccard.query,
+        "op7_bootstrapped_pii": pii.query,
         "op8_warc_index_first": warc.query,
         "op9_nb_svm_quality": quality.query,
         "op10_ftrl_toxicity": toxicity.query,
