@@ -6,7 +6,10 @@ from . import decontaminate, html_text, jaccard, mixing, pii, quality, quotes, s
 
 
 def queries():
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quotation_linking": quotes.query,
         "op2_tag_path_ratios": html_text.query,
         "op3_pigeonhole_decontamination": decontaminate.query,

@@ -6,7 +6,10 @@ to exactly zero while its gradients stay within L1, so the weights that remain a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import WordHashes, table
@@ -46,15 +49,37 @@ def ftrl(xs: list[np.ndarray], ys: np.ndarray) -> tuple[np.ndarray, ...]:
     return at, w[at], np.zeros(len(at))
 
 
+def _learned(docs: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, ...], float]:
+    """The weights and the bias, learned from the labels outside the held-out fold."""
+    at, w, v = trained(training_rows(docs, labels, "toxic", 5, 0), features, ftrl)
+    keep = at != _BIAS
+    return (at[keep], w[keep], v[keep]), float(w[~keep].sum())
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; learned from the labels outside the held-out fold.
 
     Null texts count as empty and get the bias alone; without any label every score is 0.5; rows that repeat an id are
     scored one by one; columns other than doc_id and text are ignored.
     """
-    at, w, v = trained(training_rows(docs, labels, "toxic", 5, 0), features, ftrl)
-    bias, keep = float(w[at == _BIAS].sum()), at != _BIAS
-    return scored(docs, fold("doc_id", 5, 0), THRESHOLD, features, 1 << BITS, (at[keep], w[keep], v[keep]), lambda s, _: sigmoid(s + bias))
+    weights, bias = _learned(docs, labels)
+    return scored(docs, fold("doc_id", 5, 0), THRESHOLD, features, 1 << BITS, weights, lambda s, _: sigmoid(s + bias))
+
+
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are not predicted toxic. They are filtered where they are read; nothing is shuffled."""
+    weights, bias = _learned(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, dense = WordHashes(), np.zeros(1 << BITS)
+        at, w = shared.value
+        dense[at] = w
+        for b in batches:
+            texts = ((t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist())
+            yield b.filter(pa.array([sigmoid(float(dense[features(t, hashes)].sum()) + bias) < THRESHOLD for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
