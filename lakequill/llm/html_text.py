@@ -113,14 +113,18 @@ def blocks(page: str) -> list[Block]:
                 del stack[i:]
                 return
 
-    def opened(tag: str, tags: tuple[str, ...]) -> None:
+    def opened(tags: tuple[str, ...]) -> None:
+        """Ends the elements of these names that a new one ends, up to the next scope."""
+        first = None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                first = i
+            elif stack[i].tag in SCOPES:
+                break
+        if first is not None:
+            if any(e.tag not in INLINE for e in stack[first:]):
                 flush()
-                del stack[i:]
-                return
-            if stack[i].tag in SCOPES and stack[i].tag not in tags:
-                return
+            del stack[first:]
 
     at, end = 0, len(page)
     while at < end:
@@ -147,15 +151,13 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = closing.end() if closing else end
-            if tag not in INLINE:
-                flush()
             continue
         if tag in CLOSES_P:
-            opened(tag, ("p",))
+            opened(("p",))
         if tag in CLOSED_BY:
-            opened(tag, CLOSED_BY[tag])
+            opened(CLOSED_BY[tag])
         if tag in HEADINGS:
-            opened(tag, tuple(HEADINGS))
+            opened(tuple(HEADINGS))
         attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3] or "")}
         if tag in ("br", "td", "th", "img", "wbr"):
             if tag != "wbr":
