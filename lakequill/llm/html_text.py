@@ -42,8 +42,10 @@ MAIN = frozenset(("article", "main"))
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡«»“”\"()]")
 
 SPREAD, SHARE, HELD, LINKED = 1.0, 0.4, 0.8, 0.75
+#: Elements nested deeper than this count as part of the one at this depth, as in browsers; their text stays.
+DEEPEST = 512
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -169,7 +171,7 @@ def blocks(page: str) -> list[Block]:
         element = Element(tag, attributes, stack[-1])
         if tag not in INLINE or element.own:
             flush()
-        if not (m[3] or "").endswith("/") or tag not in ("svg",):
+        if len(stack) < DEEPEST:
             stack.append(element)
     flush()
     return out
