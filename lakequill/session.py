@@ -52,7 +52,7 @@ class Session:
         if isinstance(data, str):
             self.catalog = Catalog.open(self.spark, data, names=tables)
         else:
-            self.catalog = Catalog.from_tables(self.spark, data) if isinstance(data, dict) else data
+            self.catalog = (Catalog.from_tables(spark, data) if isinstance(data, dict) else data).adopted(self.spark)
 
     def bind(self, sql: str) -> binder.Query:
         try:

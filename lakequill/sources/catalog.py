@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +107,19 @@ class Catalog:
         casts = {c: F.col(f"`{c}`").cast("double") for c in wide} | {c: F.col(f"`{c}`").cast("int") for c in small}
         return frame.withColumns(casts) if casts else frame
 
+    def adopted(self, spark: SparkSession) -> Catalog:
+        """The same tables in another Spark session, whose settings then hold for what is built on them."""
+        out = Catalog(spark, self.root, self.decimals_as_double)
+        for t in self.tables.values():
+            if t.frame.sparkSession is spark:
+                out.tables[t.name] = t
+                continue
+            view = f"lakequill_{uuid.uuid4().hex}"
+            t.frame.createGlobalTempView(view)
+            out.tables[t.name] = Table(t.name, t.files, spark.table(f"{spark.conf.get('spark.sql.globalTempDatabase')}.{view}"))
+            spark.catalog.dropGlobalTempView(view)
+        return out
+
     def replace(self, name: str, frame: DataFrame, files: list[str] | None = None) -> None:
         self.tables[name.lower()] = Table(name.lower(), files or [], self._doubles(frame))
 
