@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, with_utf8
-from .linear import _FOLD, folded_words
+from . import linear
+from .common import small, table, with_utf8
 
 PER_ERROR = 10
 BLOCK_BYTES = 8 << 20
@@ -30,7 +30,7 @@ RESULT = "doc_id long, item_id long, distance int, start long, end long"
 
 def folded(text: bytes) -> str:
     """The folded bytes, one character each."""
-    return b" ".join(folded_words(text)).decode("latin-1")
+    return b" ".join(linear.folded(text).split()).decode("latin-1")
 
 
 class Myers:
@@ -142,7 +142,7 @@ class Matcher:
 
 def code_points(text: bytes, start: int, end: int) -> tuple[int, int]:
     """Offsets in folded bytes as code points of the text: from the first to the last byte that is not a separator."""
-    kept, at, first, last = text.translate(_FOLD), 0, None, 0
+    kept, at, first, last = linear.folded(text), 0, None, 0
     n, i = 0, 0
     while i < len(kept):
         if kept[i] == 32:
@@ -186,7 +186,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR, b
     def search(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, per_error)
-            for batch in batches:
+            for batch in small(batches):
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     for item_id, distance, start, end in matcher.search(text):
@@ -207,15 +207,16 @@ def kept(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sc, out = docs.sparkSession.sparkContext, docs
 
     def clean(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @F.arrow_udf("boolean")
+        def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             matcher = Matcher(shared.value)
-            for batch in batches:
-                yield batch.filter(pa.array([t is None or not matcher.search(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], pa.bool_()))
+            for batch in texts:
+                yield pa.array([not matcher.search(t) for part in small([batch]) for t in part.to_pylist()], pa.bool_())
 
-        return run
+        return passes(F.coalesce("text", F.lit("")).cast("binary"))
 
     for block in _blocks(benchmark, BLOCK_BYTES):
-        out = out.mapInArrow(clean(sc.broadcast(block)), docs.schema)
+        out = out.filter(clean(sc.broadcast(block)))
     return out
 
 

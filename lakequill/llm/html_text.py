@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import small, table
 
 # Names of HTML elements and the words by which pages name what is not their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -253,7 +253,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row; null or empty html gives an empty text; extra columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = [extract(h) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, table, tasks, with_utf8
+from .common import materialise, mix, small, table, tasks, with_utf8
 from .components import components
 from .words import word_hashes
 
@@ -43,7 +43,7 @@ SALTS, CELL = 32, 2048
 #: Shingles in this many documents or more are frequent; the bound doubles until at most MOST_FREQUENT are (8 MB broadcast).
 FREQUENT, MOST_FREQUENT = 32, 1_000_000
 #: Counts start within so many shingles at a time; fewer than LOCAL of one there are not counted.
-CHUNK, LOCAL = 4_000_000, 3
+CHUNK, LOCAL = 2_000_000, 3
 
 _P = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) * (2 * j + 1) % (1 << 64) | 1) for j in range(WORDS + 1)]
 
@@ -115,7 +115,7 @@ def _profile(docs: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int32)), pa.array(t), pa.array(c.astype(np.int64)), pa.nulls(len(t), pa.binary()), pa.nulls(len(t), pa.list_(pa.int64())), pa.nulls(len(t), pa.list_(pa.int64()))], names=names)
             return None
 
-        for batch in batches:
+        for batch in small(batches):
             ids, n, sets, maps = batch.column("doc_id"), [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text)
@@ -155,7 +155,7 @@ def _entries(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in batches:
+        for batch in small(batches):
             keys, ids, rares, salts = [], [], [], []
             for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = shingles(text)
@@ -195,7 +195,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found, last, own = [], None, None
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
                 if last != x:

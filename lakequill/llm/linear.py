@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, with_utf8
+from .common import mix, small, with_utf8
 
 #: At most about this many labelled rows are learned from: a share of all of them, by a hash of the id, alike in every run.
 MAX_TRAINING_ROWS = 16_000
@@ -32,13 +32,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     return with_utf8(docs.select("doc_id", "text")).join(F.broadcast(rows.filter(share)), "doc_id")
 
 
-def trained(rows: DataFrame, features: Callable[[bytes, WordHashes], np.ndarray], fit: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def trained(rows: DataFrame, features: Callable[[bytes], np.ndarray], fit: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index, weight and norm share of each feature that ``fit`` keeps; features are made in parallel, the bounded sample is learned in one task."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            found = [features(t, hashes) for t in b.column("text").to_pylist()]
+        for b in small(batches):
+            found = [features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,18 +54,18 @@ def trained(rows: DataFrame, features: Callable[[bytes, WordHashes], np.ndarray]
     return got["i"].to_numpy(np.int64), got["w"].to_numpy(np.float64), got["v"].to_numpy(np.float64)
 
 
-def scored(docs: DataFrame, held: Column, threshold: float, features: Callable[[bytes, WordHashes], np.ndarray], size: int, weights: tuple[np.ndarray, np.ndarray, np.ndarray], probability: Callable[[float, float], float]) -> DataFrame:
+def scored(docs: DataFrame, held: Column, threshold: float, features: Callable[[bytes], np.ndarray], size: int, weights: tuple[np.ndarray, np.ndarray, np.ndarray], probability: Callable[[float, float], float]) -> DataFrame:
     """doc_id, held_out, score, predicted. Weights and norm shares that are kept are broadcast; there are at most ``size`` of each."""
     shared = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1].astype(np.float32), weights[2].astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (weight, norm) = WordHashes(), np.zeros((2, size), np.float32)
+        weight, norm = np.zeros((2, size), np.float32)
         at, w, v = shared.value
         weight[at], norm[at] = w, v
-        for b in batches:
+        for b in small(batches):
             scores = []
             for text in b.column("text").to_pylist():
-                x = features(text, hashes)
+                x = features(text)
                 scores.append(probability(float(weight[x].sum(dtype=np.float64)), float(norm[x].sum(dtype=np.float64))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -74,8 +73,9 @@ def scored(docs: DataFrame, held: Column, threshold: float, features: Callable[[
     return given.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def folded_words(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
+def folded(text: bytes) -> bytes:
+    """The text with words of letters and digits parted by spaces."""
+    return text.translate(_FOLD)
 
 
 def grams(w: np.ndarray, offsets: tuple[int, ...], salt: int) -> np.ndarray:

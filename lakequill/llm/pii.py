@@ -160,9 +160,11 @@ def redacted(docs: DataFrame) -> DataFrame:
     pieces = F.zip_with("_spans", F.slice(ends, F.lit(1), F.size("_spans")), lambda x, before: F.concat(F.substring(F.col("text"), before + 1, x["start"] - before), F.element_at(names, x["kind"] + 1)))
     rest = F.substring(F.col("text"), F.element_at(ends, -1) + 1, F.length("text"))
     new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    cols = {c: F.col(c) for c in docs.columns} | {"text": new}
+    # a column of its own: within one select, names in lambdas would mean the new text
+    out = out.withColumn("_new", new)
+    cols = {c: F.col(c) for c in docs.columns} | {"text": F.col("_new")}
     if "n_chars" in cols:
-        cols["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+        cols["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
     return out.select(*(v.alias(k) for k, v in cols.items()))
 
 

@@ -12,8 +12,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import WordHashes, mix, table
+from .common import mix, table
 from .linear import fold, grams, indices, scored, sigmoid, trained, training_rows
+from .words import word_hashes
 
 BITS = 20
 SMOOTH, COST, EPOCHS = 1.0, 0.1, 12
@@ -22,12 +23,12 @@ _A, _B = 1 << BITS, (1 << BITS) + 1
 _KIND = np.array([1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 else 3 if 48 <= c <= 57 else 4 if c >= 128 else 100 + c for c in range(256)], np.uint64)
 
 
-def features(text: bytes, hashes: WordHashes) -> np.ndarray:
+def features(text: bytes) -> np.ndarray:
     words = text.split()
     if not words:
         return np.empty(0, np.int32)
     b = np.frombuffer(text, np.uint8).astype(np.uint64)
-    w = hashes.array(words)
+    w = word_hashes(text)
     joined = np.frombuffer(b" ".join(words), np.uint8)
     ends = np.cumsum([len(x) + 1 for x in words]) - 2
     starts = np.concatenate([[0], ends[:-1] + 2])

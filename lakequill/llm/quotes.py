@@ -90,8 +90,10 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     nothing, rows that repeat a turn as messages of one place in the tree. Links go to earlier turns only, so there are no
     circles. Extra columns are ignored; an empty table gives an empty result.
     """
-    given = materialise(messages.select("conv_id", "turn", "role", "text").withColumn("row", F.monotonically_increasing_id()))
-    parts = materialise(lines(given))
+    given = materialise(messages.select("conv_id", "turn", "role", "text", F.coalesce(F.col("text").rlike(r"(?m)" + QUOTE), F.lit(False)).alias("quotes")).withColumn("row", F.monotonically_increasing_id()))
+    # only conversations in which someone quotes are taken apart
+    talk = given.filter("quotes").select(F.col("conv_id").alias("c")).distinct()
+    parts = materialise(lines(given.join(talk, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")))
     own, quoted = _units(parts.filter("conv_id is not null and turn is not null"))
     links = materialise(_linked(own, quoted))
     votes = links.filter("source is not null").groupBy("row", "conv_id", "turn", "level", "source").agg(F.sum("size").alias("size"))
@@ -101,10 +103,11 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     said = parts.filter("level = 0").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("x"))
     spoken = F.filter(F.transform("x", lambda p: p["line"]), lambda s: ~F.lower(F.trim(s)).rlike(INTRODUCES))
     has_quote = F.coalesce("n_quoted", F.lit(0)) > 0
-    said = said.join(passages, "row", "left").select("row", F.btrim(F.regexp_replace(F.array_join(F.when(has_quote, spoken).otherwise(F.transform("x", lambda p: p["line"])), "\n"), "\n{3,}", "\n\n"), F.lit(" \t\n")).alias("own"))
+    tidy = lambda c: F.btrim(F.regexp_replace(c, "\n{3,}", "\n\n"), F.lit(" \t\n"))
+    said = said.join(passages, "row", "left").select("row", tidy(F.array_join(F.when(has_quote, spoken).otherwise(F.transform("x", lambda p: p["line"])), "\n")).alias("own"))
     out = given.join(said, "row", "left").join(passages, "row", "left").join(best.select("row", "parent"), "row", "left").join(trees, ["conv_id", "turn"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    out = out.select("row", "conv_id", "turn", "role", F.coalesce("own", F.lit("")).alias("text"), F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), zero("depth").alias("depth"), zero("n_quoted").alias("n_quoted"), zero("n_linked").alias("n_linked"))
+    out = out.select("row", "conv_id", "turn", "role", F.coalesce("own", F.when(~F.col("quotes"), tidy(F.regexp_replace("text", "\r\n?", "\n"))), F.lit("")).alias("text"), F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), zero("depth").alias("depth"), zero("n_quoted").alias("n_quoted"), zero("n_linked").alias("n_linked"))
     return _numbered(materialise(out))
 
 

@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, table, tasks
+from .common import mix, small, table, tasks
 
 K, S, SKETCH = 12, 5, 64
 _BASE = 0x9E3779B97F4A7C15
@@ -119,7 +119,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple | None = None
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc_id, text, part, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "guest")), strict=True):
                 if guest and (before is None or before[2] != part):

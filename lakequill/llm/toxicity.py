@@ -11,9 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import WordHashes, table
-from .linear import MAX_TRAINING_ROWS, fold, folded_words, grams, indices, scored, sigmoid, trained, training_rows
+from .common import small, table
+from .linear import MAX_TRAINING_ROWS, fold, folded, grams, indices, scored, sigmoid, trained, training_rows
+from .words import word_hashes
 
 BITS = 20
 ALPHA, BETA, L2 = 2.0, 1.0, 0.0
@@ -24,9 +26,9 @@ THRESHOLD = 0.5
 _BIAS = 1 << BITS
 
 
-def features(text: bytes, hashes: WordHashes) -> np.ndarray:
+def features(text: bytes) -> np.ndarray:
     """Words, pairs of neighbours and pairs that skip one word, hashed; each counts once."""
-    w = hashes.array(folded_words(text))
+    w = word_hashes(folded(text))
     return indices([grams(w, (0,), 1), grams(w, (0, 1), 2), grams(w, (0, 2), 3)], BITS)
 
 
@@ -71,15 +73,15 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights, bias = _learned(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, dense = WordHashes(), np.zeros(1 << BITS)
+    @F.arrow_udf("boolean")
+    def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        dense = np.zeros(1 << BITS)
         at, w = shared.value
         dense[at] = w
-        for b in batches:
-            texts = ((t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist())
-            yield b.filter(pa.array([sigmoid(float(dense[features(t, hashes)].sum()) + bias) < THRESHOLD for t in texts], pa.bool_()))
+        for batch in texts:
+            yield pa.array([sigmoid(float(dense[features(t)].sum()) + bias) < THRESHOLD for part in small([batch]) for t in part.to_pylist()], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(passes(F.coalesce("text", F.lit("")).cast("binary")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, tasks
+from .common import materialise, scratch, small, tasks
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_type string, refers_to long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -103,7 +103,7 @@ def write_archives(pages: DataFrame, folder: str, max_file_bytes: int = 1 << 30)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
-        for batch in batches:
+        for batch in small(batches):
             for page_id, url, html, sha1, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "sha1", "refers_to")), strict=True):
                 if out is None:
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0

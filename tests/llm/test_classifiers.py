@@ -1,0 +1,107 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from samples import AWKWARD, DATA, documents, text
+
+from lakequill.llm import linear, quality, toxicity
+from lakequill.llm.toxicity import features
+
+BAD = ["vile", "rotten", "nasty", "awful"]
+
+
+def labelled(spark, n=500):
+    r, docs, labels = random.Random(1), [], []
+    for i in range(n):
+        t, toxic, good = text(i, 30), i % 5 == 0, i % 3 != 0
+        if toxic:
+            words = t.split()
+            for _ in range(3):
+                words[r.randrange(len(words))] = r.choice(BAD)
+            t = " ".join(words)
+        if not good:
+            t = " ".join(w.upper() + "!!" for w in t.split())
+        docs.append((i, t))
+        labels.append((i, int(good), int(toxic)))
+    docs += [(1000 + k, t) for k, (_, t) in enumerate(AWKWARD)] + [(None, text(3))]
+    labels += [(0, None, None), (1, 1, None), (None, 1, 1), (99999, 0, 1)]
+    return documents(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int").selectExpr("*", "1 AS y", "'x' AS text")
+
+
+@pytest.mark.parametrize(("module", "call", "column", "modulus", "out", "threshold"), [(toxicity, "toxicity", 2, 5, 0, 0.5), (quality, "quality", 1, 4, 2, 0.7)])
+def test_held_out_rows(spark, module, call, column, modulus, out, threshold):
+    docs, labels = labelled(spark)
+    got = getattr(module, call)(docs, labels).collect()
+    assert len(got) == docs.count()
+    want = {r[0]: r[column] for r in labels.collect()}
+    right = total = 0
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= threshold)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % modulus == out)
+        if r.held_out and r.doc_id is not None and r.doc_id < 500 and want[r.doc_id] is not None:
+            total += 1
+            right += r.predicted == want[r.doc_id]
+    assert total > 50 and right / total > 0.9
+    assert sorted(map(repr, got)) == sorted(map(repr, getattr(module, call)(docs.repartition(3), labels.repartition(2)).collect()))
+
+
+def test_held_out_labels_are_not_learned(spark):
+    docs, labels = labelled(spark)
+    turned = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0 THEN 1 - toxic ELSE toxic END AS toxic")
+    a, b = (sorted((str(r.doc_id), r.score) for r in toxicity.toxicity(docs, x).collect()) for x in (labels, turned))
+    assert a == b
+
+
+def test_without_rows_or_labels(spark):
+    docs, labels = labelled(spark, 40)
+    for module, call in ((toxicity.toxicity, None), (quality.quality, None)):
+        assert module(docs.limit(0), labels).count() == 0
+        assert {r.score for r in module(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_kept_rows(spark):
+    docs, labels = labelled(spark)
+    bad = {r.doc_id for r in toxicity.toxicity(docs, labels).collect() if r.predicted}
+    kept = toxicity.kept(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(repr(r) for r in docs.collect() if r.doc_id not in bad) and len(bad) > 80
+
+
+def test_sample_is_bounded(spark):
+    docs, labels = labelled(spark)
+    n = linear.training_rows(docs, labels, "toxic", 5, 0, most=100).count()
+    assert 50 < n < 160 and linear.training_rows(docs, labels, "toxic", 5, 0).filter("doc_id % 1 <> 0").count() == 0
+
+
+def test_ftrl_is_sparse_and_follows_the_update():
+    """The vectorised update against the published one, coordinate by coordinate."""
+    xs = [features(t.encode()) for t in ("vile words here", "fine words here", "vile and nasty", "all fine")] * 40
+    ys = np.array([1, 0, 1, 0] * 40)
+    at, w, _ = toxicity.ftrl(xs, ys)
+    l1 = max(toxicity.L1_LEAST, toxicity.L1 * min(1.0, len(xs) / linear.MAX_TRAINING_ROWS))
+    z, n = {}, {}
+
+    def weight(i):
+        lim = 0 if i == toxicity._BIAS else l1
+        if abs(z.get(i, 0.0)) <= lim:
+            return 0.0
+        return ((1 if z[i] > 0 else -1) * lim - z[i]) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + (0 if i == toxicity._BIAS else toxicity.L2))
+
+    for _ in range(toxicity.EPOCHS):
+        for x, y in zip(xs, ys, strict=True):
+            ids = [*map(int, x), toxicity._BIAS]
+            ws = [weight(i) for i in ids]
+            g = linear.sigmoid(sum(ws)) - y
+            for i, v in zip(ids, ws, strict=True):
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * v, n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    assert set(at.tolist()) == set(want) and np.allclose(w, [want[i] for i in at.tolist()])
+
+
+@pytest.mark.parametrize(("module", "column", "share"), [(toxicity, "toxic", 0.93), (quality, "quality", 0.95)])
+def test_whole_table(spark, module, column, share):
+    labels = {r.doc_id: r[column] for r in spark.read.parquet(f"{DATA}/sf0.1/labels.parquet").collect()}
+    got = module.query(spark, f"{DATA}/sf0.1").collect()
+    held = [r for r in got if r.held_out and r.doc_id in labels]
+    assert len(got) == 10000 and np.mean([r.predicted == labels[r.doc_id] for r in held]) > share

@@ -1,0 +1,58 @@
+import html
+import re
+
+import pytest
+from samples import DATA
+
+from lakequill.llm import html_text
+
+PLAIN = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><div id="header"><a href=/>Site name</a><ul><li><a>Home</a><li><a>News</a></ul></div>
+<div class="cookie-notice">We use cookies to improve, <a>ok</a>.</div><div class="wrap"><div class="col"><h1>A title here</h1><p>First paragraph with a fair
+number of words, some commas, and &eacute;t&eacute;.<p>Second one &amp; more text, quite long too, so that it counts.<ul><li>point one, short<li>point two</ul>
+<blockquote>Quoted words, they are fine.</blockquote></div><div class="sidebar"><h3>Related</h3><ul><li><a>One other story with a long title, indeed</a><li><a>Two</a></ul></div></div>
+<section id="comments"><h2>Comments</h2><div class="comment"><p>I think, honestly, this is a very long comment with many words, and commas, and so on and on.</p></div></section>
+<form><label>Mail</label><input><button>Send</button></form><footer>Copyright 2020</footer></body></html>"""
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (PLAIN, "A title here\nFirst paragraph with a fair number of words, some commas, and été.\nSecond one & more text, quite long too, so that it counts.\npoint one, short\npoint two\nQuoted words, they are fine."),
+        ("<body><nav>a b</nav><main><article><header><h1>T</h1><p class=by>By X</p></header><p>Long text here, with commas, and more words.</p><table><tr><td>a<td>b<tr><td>c<td>d</table><aside>no</aside><p>End.</p></article></main></body>", "T\nLong text here, with commas, and more words.\na b\nc d\nEnd."),
+        ("<p>Only text <b>bold <i>it</b> x <!-- c --> y<script>if(a<b){'</p>'}</script> z", "Only text bold it x y z"),
+        ("<article><p>&lt;b&gt; &#233; &#x1F600; &nbsp;x &unknown; AT&T &copy 2</p></article>", "<b> é 😀 x &unknown; AT&T © 2"),
+        ("<article><h1>One</h1><p>a<br>b</p>loose<div>in</div>tail</article>", "One\na b\nloose\nin\ntail"),
+        ("", ""), (None, ""), ("<html><body><nav>x</nav></body></html>", ""), ("plain words", "plain words"), ("<", "<"), ("<p", ""), ("a < b", "a < b"),
+    ],
+)
+def test_pages(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_hostile_pages_stay_quick():
+    assert html_text.extract("<div>" * 50000 + "x") == "x"
+    assert len(html_text.extract("<b>y" * 50000)) == 50000
+    assert html_text.extract('<a href="x>t' * 20000)
+    assert html_text.extract("<p>word, word." * 20000).count("\n") == 19999
+
+
+def test_path_scores_tell_paragraphs_from_menus():
+    found = html_text.blocks("<div class=m><a>Home</a></div><div class=m><a>News</a></div>" + "<p>Some words, and more of them, here.</p>" * 8 + "<div class=m><a>About</a></div>")
+    scores = html_text.path_scores(found)
+    assert scores["html/p"] > 3 * scores["html/div.m"]
+
+
+def test_whole_table(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect()}
+    got = html_text.query(spark, f"{DATA}/sf0.01").collect()
+    assert len(got) == len(pages)
+    for r in got:
+        article = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
+        parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "<br>" in p else "", p)).split()) for p in re.split(r"</?(?:h1|p)>", article))
+        assert r.text == "\n".join(filter(None, parts)) and r.n_chars == len(r.text)
+
+
+def test_awkward_rows(spark):
+    df = spark.createDataFrame([(1, None, None), (1, "u", "<p>x"), (None, "v", "")], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
+    assert sorted(map(tuple, html_text.main_texts(df).collect()), key=repr) == sorted([(1, None, "", 0), (1, "u", "x", 1), (None, "v", "", 0)], key=repr)
+    assert html_text.main_texts(df.limit(0)).count() == 0

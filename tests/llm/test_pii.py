@@ -1,0 +1,88 @@
+import hashlib
+import re
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from samples import AWKWARD, DATA, documents
+
+from lakequill.llm import pii
+
+RULES = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def brute(t):
+    out = []
+    for k, (kind, pattern) in enumerate(RULES):
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and not all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and not (14 <= len(d) <= 19 and luhn(d)) or kind == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
+
+
+ODD = [
+    "a@b.c_x@y.z a@b.c@d.e", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.0004", "+1 (988) 555-2485+44 20 7946 0958", "4111 1111 1111 1111, 4111-1111-1111-1111 4111111111111111",
+    "é😀 foo@bar.com 10.0.0.1😀+12345678901", "@@a@b.c..d@e.f.", "1" * 5000, "1 " * 20000, "+1" * 3000, "a" * 30000 + "@b.c", ".".join(["12"] * 5000), "+1((((((((" * 500, "5 4111111111111111", "x@y", "0.0.0.0.",
+]
+
+
+def spans_of(spark, rows):
+    got = pii.spans(documents(spark, rows))
+    return [(r.doc_id, r.b, r.s) for r in got.select("doc_id", pii.written(got["base"]).alias("b"), pii.written(got["spans"]).alias("s")).collect()]
+
+
+def test_base_on_odd_texts(spark):
+    rows = list(enumerate(ODD)) + [(100 + (d or 0), t) for d, t in AWKWARD]
+    got = spans_of(spark, rows)
+    assert sorted((d, b) for d, b, _ in got) == sorted((d, brute(t or "")) for d, t in rows)
+    assert pii.spans(documents(spark, rows).limit(0)).count() == 0
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("0123456789.@+-() aé", max_size=60), min_size=30, max_size=60))
+def test_base_on_random_texts(spark, texts):
+    rows = list(enumerate(texts))
+    assert sorted((d, b) for d, b, _ in spans_of(spark, rows)) == [(d, brute(t)) for d, t in rows]
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    rows = [(i, f"some words, contact: user{i}@mail.example.com and more") for i in range(40)]
+    rows += [(100 + i, f"other words, contact: handle-{i}9{i}7 and more") for i in range(4)]
+    rows += [(200, "elsewhere handle-191797 and handle-292 stand, say, in Version 2.01.0034"), (201, "clean words only in Version 2.01.0034"), (202, "again HANDLE-191797")]
+    rows[41] = (101, "other words, contact: handle-191797 and more")
+    got = {d: (b, s) for d, b, s in spans_of(spark, rows)}
+    assert all(got[100 + i][0] == "" and re.fullmatch(r"id:22:\d+", got[100 + i][1]) for i in range(4))
+    assert got[200][1] == "id:10:23" and got[202][1] == "id:6:19" and got[201][1] == ""
+    assert all(s == b == f"email:{21}:{21 + len(f'user{d}@mail.example.com')}" for d, (b, s) in got.items() if d < 40) or all(b and b in s for d, (b, s) in got.items() if d < 40)
+
+
+def test_redaction(spark):
+    rows = [(1, "mail é a@b.cd now 4111111111111111 or +1 (988) 555-2485"), (1, "same id, x@y.zz"), (2, "nothing"), (3, None), (4, ""), (5, "+4111111111111111 both"), (None, "q@r.st")]
+    df = documents(spark, rows)
+    got = pii.redacted(df)
+    assert got.columns == df.columns and got.schema == df.schema
+    texts = sorted(((r.doc_id, r.text, r.n_chars) for r in got.collect()), key=repr)
+    want = [(1, "mail é [EMAIL] now [CARD] or [PHONE]"), (1, "same id, [EMAIL]"), (2, "nothing"), (3, None), (4, ""), (5, "+[CARD] both"), (None, "[EMAIL]")]
+    assert texts == sorted(((d, t, len(t) if t is not None else None) for d, t in want), key=repr)
+
+
+def test_whole_table(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
+    got = pii.query(spark, f"{DATA}/sf0.01")
+    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    rows = got.collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        base = brute(docs[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and [r.n_email, r.n_ip, r.n_card, r.n_phone] == [base.count(f"{k}:") for k in pii.KINDS]
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))

@@ -1,0 +1,43 @@
+"""The stages one by one against what each should leave of its own input, and run() against the stages."""
+
+from samples import DATA
+from test_jaccard import brute
+
+import corpus_pipeline
+from lakequill.llm import decontaminate, mixing, pii, toxicity
+from lakequill.llm.common import materialise, table
+
+
+def test_stages(spark):
+    sf = f"{DATA}/sf0.01"
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "pii", "mixing"]
+    docs = table(spark, sf, "documents")
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+
+    clean = materialise(stages["toxicity"](spark, docs, sf))
+    bad = {r.doc_id for r in toxicity.toxicity(docs, table(spark, sf, "labels")).collect() if r.predicted}
+    assert clean.columns == columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - bad and bad
+
+    single = materialise(stages["ngram_jaccard_join"](spark, clean, sf))
+    assert single.columns == columns and {r.doc_id for r in single.collect()} == {d for d, _, c in brute([(r.doc_id, r.text) for r in clean.collect()]) if d == c}
+
+    unseen = materialise(stages["benchmark_decontamination"](spark, single, sf))
+    hit = {r.doc_id for r in decontaminate.matches(single, table(spark, sf, "benchmark")).collect()}
+    assert unseen.columns == columns and {r.doc_id for r in unseen.collect()} == {r.doc_id for r in single.collect()} - hit and hit
+
+    masked = materialise(stages["pii"](spark, unseen, sf))
+    assert masked.columns == columns and masked.count() == unseen.count() and pii.spans(masked).filter("size(base) > 0").isEmpty()
+    before = {r.doc_id: r.text for r in unseen.collect()}
+    assert all(r.n_chars == len(r.text) and (r.text == before[r.doc_id] or "[" in r.text) for r in masked.collect())
+
+    mixed = stages["mixing"](spark, masked, sf)
+    plan = {r.doc_id: r.copies for r in mixing.mix(mixing.words(masked)).collect() if r.copies}
+    got = mixed.collect()
+    assert mixed.columns == [*columns, "copies"] and {r.doc_id: r.copies for r in got} == plan
+    assert sorted(map(repr, corpus_pipeline.run(spark, sf).collect())) == sorted(map(repr, got))
+
+
+def test_no_documents(spark, tmp_path):
+    for t in ("documents", "labels", "benchmark"):
+        table(spark, f"{DATA}/sf0.001", t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
