@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, small, with_utf8
 
-#: At most about this many labelled rows are learned from: a share of all of them, by a hash of the id, alike in every run.
+#: At most about this many labelled rows are learned from, half of them of each class: shares by a hash of the id, alike in every run.
 MAX_TRAINING_ROWS = 16_000
 
 _P = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 3) * (2 * j + 5) % (1 << 64) | 1) for j in range(8)]
@@ -24,12 +25,17 @@ def fold(doc_id: str, modulus: int, held_out: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == held_out, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """(doc_id, text, y) of the sample. Rows without a label or an id, and all held-out rows, are out; of a repeated id the largest label counts."""
-    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~fold("doc_id", modulus, held_out)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    n = rows.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30))
-    return with_utf8(docs.select("doc_id", "text")).join(F.broadcast(rows.filter(share)), "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int = MAX_TRAINING_ROWS) -> tuple[DataFrame, float]:
+    """(doc_id, text, y) of the sample, and what to add to the log-odds of its model.
+
+    Rows without a label or an id, and all held-out rows, are out; of a repeated id the largest label counts. Each class has
+    about ``most`` / 2 rows at most; the shift of the log-odds takes back that the classes were sampled at different rates.
+    """
+    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~fold("doc_id", modulus, held_out)).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
+    rates = {r["y"]: min(1.0, most / 2 / r["n"]) for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    picked = rows.filter(at < F.when(F.col("y") == 1, int(rates.get(1, 1) * (1 << 30))).otherwise(int(rates.get(0, 1) * (1 << 30))))
+    return with_utf8(docs.select("doc_id", "text")).join(F.broadcast(picked), "doc_id"), math.log(rates.get(0, 1.0) / rates.get(1, 1.0))
 
 
 def trained(rows: DataFrame, features: Callable[[bytes], np.ndarray], fit: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -106,8 +106,9 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null texts count as empty and get the curve's offset; without any label every score is 0.5; rows that repeat an id are
     scored one by one; columns other than doc_id and text are ignored.
     """
-    at, w, v = trained(training_rows(docs, labels, "quality", 4, 2), features, nb_svm)
-    slope, offset = (float(w[at == k].sum()) for k in (_A, _B))
+    rows, shift = training_rows(docs, labels, "quality", 4, 2)
+    at, w, v = trained(rows, features, nb_svm)
+    slope, offset = float(w[at == _A].sum()), float(w[at == _B].sum()) + shift
     keep = at < _A
     return scored(docs, fold("doc_id", 4, 2), THRESHOLD, features, 1 << BITS, (at[keep], w[keep], v[keep]), lambda s, n: curve(s, n, slope, offset))
 

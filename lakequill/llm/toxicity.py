@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, table
-from .linear import MAX_TRAINING_ROWS, fold, folded, grams, indices, scored, sigmoid, trained, training_rows
+from .linear import fold, folded, grams, indices, scored, sigmoid, trained, training_rows
 from .words import word_hashes
 
 BITS = 20
 ALPHA, BETA, L2 = 2.0, 1.0, 0.0
-#: The L1 bound grows with the rows learned from, up to the full value at MAX_TRAINING_ROWS.
-L1, L1_LEAST = 8.0, 0.5
-EPOCHS = 8
+L1 = 8.0
+EPOCHS = 5
 THRESHOLD = 0.5
 _BIAS = 1 << BITS
 
@@ -35,17 +34,16 @@ def features(text: bytes) -> np.ndarray:
 def ftrl(xs: list[np.ndarray], ys: np.ndarray) -> tuple[np.ndarray, ...]:
     """Features with their weights, the last being the bias (and no norm shares); L1 does not hold the bias."""
     z, n = (np.zeros(_BIAS + 1) for _ in range(2))
-    l1 = max(L1_LEAST, L1 * min(1.0, len(xs) / MAX_TRAINING_ROWS))
     for _ in range(EPOCHS):
         for x, y in zip(xs, ys, strict=True):
             x = np.append(x, _BIAS)
             zx, nx = z[x], n[x]
-            wx = np.where(np.abs(zx) <= l1, 0.0, (np.sign(zx) * l1 - zx) / ((BETA + np.sqrt(nx)) / ALPHA + L2))
+            wx = np.where(np.abs(zx) <= L1, 0.0, (np.sign(zx) * L1 - zx) / ((BETA + np.sqrt(nx)) / ALPHA + L2))
             wx[-1] = -zx[-1] / ((BETA + np.sqrt(nx[-1])) / ALPHA)
             g = sigmoid(float(wx.sum())) - y
             z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / ALPHA * wx
             n[x] = nx + g * g
-    w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+    w = np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     w[-1] = -z[-1] / ((BETA + np.sqrt(n[-1])) / ALPHA)
     at = np.flatnonzero(w)
     return at, w[at], np.zeros(len(at))
@@ -53,9 +51,10 @@ def ftrl(xs: list[np.ndarray], ys: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _learned(docs: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, ...], float]:
     """The weights and the bias, learned from the labels outside the held-out fold."""
-    at, w, v = trained(training_rows(docs, labels, "toxic", 5, 0), features, ftrl)
+    rows, shift = training_rows(docs, labels, "toxic", 5, 0)
+    at, w, v = trained(rows, features, ftrl)
     keep = at != _BIAS
-    return (at[keep], w[keep], v[keep]), float(w[~keep].sum())
+    return (at[keep], w[keep], v[keep]), float(w[~keep].sum()) + shift
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

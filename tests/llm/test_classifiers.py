@@ -69,8 +69,11 @@ def test_kept_rows(spark):
 
 def test_sample_is_bounded(spark):
     docs, labels = labelled(spark)
-    n = linear.training_rows(docs, labels, "toxic", 5, 0, most=100).count()
-    assert 50 < n < 160 and linear.training_rows(docs, labels, "toxic", 5, 0).filter("doc_id % 1 <> 0").count() == 0
+    some, shift = linear.training_rows(docs, labels, "toxic", 5, 0, most=100)
+    counts = {r.y: r["count"] for r in some.groupBy("y").count().collect()}
+    assert 20 < counts[0] < 90 and 20 < counts[1] < 90 and shift < 0
+    every, none = linear.training_rows(docs, labels, "toxic", 5, 0)
+    assert none == 0 and 380 < every.count() < 420
 
 
 def test_ftrl_is_sparse_and_follows_the_update():
@@ -78,11 +81,10 @@ def test_ftrl_is_sparse_and_follows_the_update():
     xs = [features(t.encode()) for t in ("vile words here", "fine words here", "vile and nasty", "all fine")] * 40
     ys = np.array([1, 0, 1, 0] * 40)
     at, w, _ = toxicity.ftrl(xs, ys)
-    l1 = max(toxicity.L1_LEAST, toxicity.L1 * min(1.0, len(xs) / linear.MAX_TRAINING_ROWS))
     z, n = {}, {}
 
     def weight(i):
-        lim = 0 if i == toxicity._BIAS else l1
+        lim = 0 if i == toxicity._BIAS else toxicity.L1
         if abs(z.get(i, 0.0)) <= lim:
             return 0.0
         return ((1 if z[i] > 0 else -1) * lim - z[i]) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + (0 if i == toxicity._BIAS else toxicity.L2))
