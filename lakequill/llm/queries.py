@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, jaccard, mixing, pii, quality, quotes, syncmers, toxicity, warc
+from . import decontaminate, html_text, jaccard, mixing, oracles, pii, quality, quotes, syncmers, toxicity, warc
 
 
 def queries():
@@ -24,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_ngram_jaccard_join": jaccard.ORACLE}
+    return {"op1_quotation_linking": oracles.QUOTES, "op6_ngram_jaccard_join": jaccard.ORACLE, "op8_warc_index_first": oracles.WARC}

@@ -15,3 +15,29 @@ from compare import connection, same  # noqa: E402
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query(spark, name):
     same(queries.queries()[name](spark, f"{DATA}/sf0.001"), connection(f"{DATA}/sf0.001"), queries.oracle_sql()[name])
+
+
+def test_quotes_on_threads(spark):
+    """The registered table may hold no quotation; these rows do."""
+    import duckdb
+    import pandas as pd
+    from test_quotes import COLUMNS, ROWS
+
+    from lakequill.llm import oracles, quotes
+
+    con, conversations = duckdb.connect(), pd.DataFrame(ROWS, columns=["conv_id", "turn", "role", "text"])
+    con.register("conversations", conversations)
+    same(quotes.linked_conversations(spark.createDataFrame(ROWS, COLUMNS)), con, oracles.QUOTES)
+
+
+def test_archives_with_revisits(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+    from test_warc import ROWS
+
+    from lakequill.llm import oracles, warc
+
+    con, pages = duckdb.connect(), pd.DataFrame([r for r in ROWS if r[0] is not None], columns=["page_id", "url", "html"])
+    con.register("pages", pages)
+    df = spark.createDataFrame([r for r in ROWS if r[0] is not None], "page_id long, url string, html string")
+    same(warc.round_trip(df, f"file://{tmp_path}/w").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), con, oracles.WARC)
