@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import uuid
 from dataclasses import dataclass, field
+from functools import cached_property
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ class Table:
     files: list[str]
     frame: DataFrame = field(repr=False)
 
-    @property
+    @cached_property
     def columns(self) -> dict[str, str]:
         return {f.name: f.dataType.simpleString() for f in self.frame.schema}
 
@@ -43,6 +45,22 @@ def local_path(path: str) -> str | None:
     return bare if "://" not in bare and os.path.exists(bare) else None
 
 
+def footer_schema(path: str | None) -> T.StructType | None:
+    """The schema in a local file's footer, which spares Spark a job; None where Spark should read it by itself."""
+    if path is None or os.path.isdir(path):
+        return None
+    import pyarrow.parquet as pq
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    schema = pq.read_schema(path)
+    if b"org.apache.spark.sql.parquet.row.metadata" in (schema.metadata or {}):
+        return None
+    try:
+        return from_arrow_schema(schema.remove_metadata(), prefer_timestamp_ntz=True)
+    except PySparkException:
+        return None
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str | None = None, decimals_as_double: bool = True):
         self.spark, self.root, self.decimals_as_double = spark, root, decimals_as_double
@@ -78,7 +96,9 @@ class Catalog:
     def _add(self, name: str, files: list[str], read: list[str] | None = None, folder: str | None = None) -> None:
         try:
             self._same_schema(name, files)
-            frame = self.spark.read.parquet(*(read or [folder or files[0]]))
+            schema = footer_schema(local_path(files[0]))
+            reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+            frame = reader.parquet(*(read or [folder or files[0]]))
         except Exception as e:  # noqa: BLE001
             raise from_spark(e) from e
         self.tables[name] = Table(name, files, self._doubles(frame))
