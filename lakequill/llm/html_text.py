@@ -28,14 +28,16 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "thead": ("thead", "tbody"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 SCOPES = frozenset("html body table ul ol dl article section main div aside nav header footer form blockquote".split())
 WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner"
+    "ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle adslot adunit adbox taboola outbrain sponsor sponsored sponsors promo promotion promoted banner"
     " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toc skip"
     " footer foot masthead topbar toolbar sidebar sidebars aside rail widget widgets related recommended recommendations trending popular"
     " comment comments disqus respond replies reply discussion"
-    " cookie cookies consent gdpr notice notices alert alerts warning popup modal overlay paywall newsletter subscribe subscription signup login"
+    " cookie cookies cookiebar cookiebanner cookienotice consent gdpr notice notices alert alerts warning popup modal overlay paywall newsletter subscribe subscription signup login"
     " share sharing social copyright legal disclaimer search form hidden".split()
 )
 HEADER_WORDS = frozenset("header head top".split())
+#: Of an article rather than of a page, if they stand beside the words before.
+TITLE_WORDS = frozenset("article post entry content story title headline main page section".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tooltip status".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
@@ -48,13 +50,14 @@ DEEPEST = 512
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
     __slots__ = ("tag", "path", "parent", "drop", "own", "depth")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
-        named = " ".join((attributes.get("class", ""), attributes.get("id", ""))).lower()
+        named = _HUMP.sub(" ", " ".join((attributes.get("class", ""), attributes.get("id", "")))).lower()
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         label = tag + "".join(f".{w}" for w in sorted(set(_TOKEN.findall(attributes.get("class", "").lower()))))
         self.path = f"{parent.path}/{label}" if parent else label
@@ -73,7 +76,7 @@ class Element:
             return not self.within(MAIN)
         if words & WORDS:
             return tag != "article" or bool(words & {"comment", "comments", "reply", "replies", "ad", "ads", "sponsored", "promo", "related"})
-        return bool(words & HEADER_WORDS) and not self.within(MAIN) and tag in ("div", "section")
+        return bool(words & HEADER_WORDS) and not words & TITLE_WORDS and not self.within(MAIN) and tag in ("div", "section")
 
     def within(self, tags: frozenset[str]) -> bool:
         at = self.parent

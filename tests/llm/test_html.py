@@ -22,6 +22,7 @@ number of words, some commas, and &eacute;t&eacute;.<p>Second one &amp; more tex
         ("<p>Only text <b>bold <i>it</b> x <!-- c --> y<script>if(a<b){'</p>'}</script> z", "Only text bold it x y z"),
         ("<article><p>&lt;b&gt; &#233; &#x1F600; &nbsp;x &unknown; AT&T &copy 2</p></article>", "<b> é 😀 x &unknown; AT&T © 2"),
         ("<article><h1>One</h1><p>a<br>b</p>loose<div>in</div>tail</article>", "One\na b\nloose\nin\ntail"),
+        ("<div class='articleHeader'><h1>H</h1></div><div class=siteHeader><a>x</a></div><div id=adBox>buy, now</div><p>Words that, all in all, make up a text.</p>", "H\nWords that, all in all, make up a text."),
         ("", ""), (None, ""), ("<html><body><nav>x</nav></body></html>", ""), ("plain words", "plain words"), ("<", "<"), ("<p", ""), ("a < b", "a < b"),
     ],
 )
