@@ -43,7 +43,7 @@ SALTS, CELL = 32, 2048
 #: Shingles in this many documents or more are frequent; the bound doubles until at most MOST_FREQUENT are (8 MB broadcast).
 FREQUENT, MOST_FREQUENT = 32, 1_000_000
 #: Counts start within so many shingles at a time; fewer than LOCAL of one there are not counted.
-CHUNK, LOCAL = 2_000_000, 3
+CHUNK, LOCAL = 4_000_000, 3
 
 _P = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 1) * (2 * j + 1) % (1 << 64) | 1) for j in range(WORDS + 1)]
 
@@ -85,8 +85,9 @@ def prefixes(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np
     n = len(tokens)
     often = np.zeros(n, bool)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-        often = frequent[at] == tokens
+        classes = class_of(tokens)
+        at = np.minimum(np.searchsorted(frequent, classes), len(frequent) - 1)
+        often = frequent[at] == classes
     miss = n - -(-percent * n // 100)
     rare = tokens[~often]
     if len(rare) > miss:
@@ -105,12 +106,12 @@ def _profile(docs: DataFrame) -> DataFrame:
         held, total = [], 0
 
         def counted() -> pa.RecordBatch | None:
-            t = np.concatenate(held) if held else np.empty(0, np.uint64)
+            t = np.concatenate(held) if held else np.empty(0, np.uint32)
             held.clear()
             t.sort()
             at = np.flatnonzero(t[LOCAL - 1 :] == t[: len(t) - LOCAL + 1]) if len(t) >= LOCAL else np.empty(0, np.int64)
             at = at[np.concatenate([[True], t[at[1:]] != t[at[:-1]]])] if len(at) else at
-            t, c = t[at].view(np.int64), np.searchsorted(t, t[at], "right") - at
+            t, c = t[at].astype(np.int64), np.searchsorted(t, t[at], "right") - at
             if len(t):
                 return pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int32)), pa.array(t), pa.array(c.astype(np.int64)), pa.nulls(len(t), pa.binary()), pa.nulls(len(t), pa.list_(pa.int64())), pa.nulls(len(t), pa.list_(pa.int64()))], names=names)
             return None
@@ -123,7 +124,7 @@ def _profile(docs: DataFrame) -> DataFrame:
                 sets.append(xxhash.xxh3_128_digest(s.tobytes()))
                 maps.append(bitmap(s))
                 if len(s):
-                    held.append(s)
+                    held.append(class_of(s))
                     total += len(s)
                 if total >= CHUNK:
                     if (out := counted()) is not None:
@@ -137,8 +138,13 @@ def _profile(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "kind int, id long, n long, hash binary, bits array<long>, small array<long>")
 
 
+def class_of(tokens: np.ndarray) -> np.ndarray:
+    """What shingles are counted by: the upper half of the hash. Rare shingles that share it with frequent ones pass for frequent."""
+    return (tokens >> np.uint64(32)).astype(np.uint32)
+
+
 def _frequent(profile: DataFrame) -> np.ndarray:
-    """The frequent shingles, sorted. Their number is known to be at most MOST_FREQUENT before they reach the driver."""
+    """The frequent shingles by class, sorted. Their number is known to be at most MOST_FREQUENT before they reach the driver."""
     counts = profile.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     counts = materialise(counts)
     steps = sorted((r["k"], r["c"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count(F.lit(1)).alias("c")).collect())
@@ -146,7 +152,7 @@ def _frequent(profile: DataFrame) -> np.ndarray:
     while sum(c for k, c in steps if k >= bound) > MOST_FREQUENT:
         bound += 1
     found = counts.filter(F.col("n") >= 1 << bound).select("id").toPandas()["id"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
+    return np.sort(found.astype(np.uint32))
 
 
 def _entries(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:

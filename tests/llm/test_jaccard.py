@@ -85,7 +85,7 @@ def test_linked_sets_share_a_key(x, y, frequent):
     if x == y or 100 * len(x & y) < 80 * len(x | y):
         return
     as_array = lambda s: np.sort(jaccard.mix(np.array(sorted(s), np.uint64)))
-    f = as_array(frequent) if frequent else np.empty(0, np.uint64)
+    f = np.sort(jaccard.class_of(as_array(frequent))) if frequent else np.empty(0, np.uint32)
     a, b = (jaccard.prefixes(as_array(s), f, 80) for s in (x, y))
     assert set(a[0].tolist()) & set(b[0].tolist()) or set(a[1].tolist()) & set(b[1].tolist())
 
