@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are folded: ASCII letters in lower case, every run of other ASCII characters than letters and digits as one
-space, bytes beyond ASCII kept. An item of m folded bytes may occur with up to k = m // PER_ERROR edits (insertions,
+Texts and items are folded: letters by Unicode case folding, every run of other ASCII characters than letters and digits as
+one space, bytes beyond ASCII kept. An item of m folded bytes may occur with up to k = m // PER_ERROR edits (insertions,
 deletions, substitutions of bytes). It is cut into k + 1 pieces, one of which must then occur unchanged: an Aho-Corasick
 automaton over all pieces finds such places in one pass over the text. A hit is checked upwards through pairs of pieces,
 fours, and so on, each of which must occur near the hit with fewer edits than it has pieces, and at last as the whole item,
@@ -28,9 +28,14 @@ BLOCK_BYTES = 8 << 20
 RESULT = "doc_id long, item_id long, distance int, start long, end long"
 
 
+def _cased(text: bytes) -> bytes:
+    """The text without differences of case; ASCII needs nothing more than ``linear.folded`` does."""
+    return text if text.isascii() else text.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
+
+
 def folded(text: bytes) -> str:
     """The folded bytes, one character each."""
-    return b" ".join(linear.folded(text).split()).decode("latin-1")
+    return b" ".join(linear.folded(_cased(text)).split()).decode("latin-1")
 
 
 class Myers:
@@ -142,7 +147,8 @@ class Matcher:
 
 def code_points(text: bytes, start: int, end: int) -> tuple[int, int]:
     """Offsets in folded bytes as code points of the text: from the first to the last byte that is not a separator."""
-    kept, at, first, last = linear.folded(text), 0, None, 0
+    cased = _cased(text)
+    kept, at, first, last = linear.folded(cased), 0, None, 0
     n, i = 0, 0
     while i < len(kept):
         if kept[i] == 32:
@@ -161,7 +167,11 @@ def code_points(text: bytes, start: int, end: int) -> tuple[int, int]:
     if first is None:
         return 0, 0
     size = lambda b: sum(x & 0xC0 != 0x80 for x in b)
-    return size(text[:first]), size(text[:last])
+    first, last = size(cased[:first]), size(cased[:last])
+    if size(cased) != size(text):  # some characters fold to several
+        of = [i for i, c in enumerate(text.decode("utf-8", "surrogateescape")) for _ in c.casefold()]
+        first, last = of[first] if first < len(of) else size(text), of[last - 1] + 1
+    return first, last
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, bytes]]]:

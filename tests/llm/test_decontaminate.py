@@ -83,6 +83,16 @@ def test_documents(spark, block_bytes):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((d for d, _ in docs if d not in hit), key=repr) and kept.columns == documents(spark, docs).columns
 
 
+def test_upper_cased_accents(spark):
+    item = "été où l'élève révéla à sa mère étonnée l'écho répété des forêts, des rêves et de la fenêtre; straße, größe, ærø, ёлка и ель"
+    docs = [(1, f"Ü {item.upper()} fin"), (2, f"İẞ\n{item.upper()}"), (3, "ÉTÉ SEUL")]
+    bench = spark.createDataFrame([(7, item), (8, item.upper())], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.start, r.end) for r in D.matches(documents(spark, docs), bench).collect()}
+    n = len(item.upper())
+    assert got == {(1, i): (0, 2, 2 + n) for i in (7, 8)} | {(2, i): (0, 3, 3 + n) for i in (7, 8)}
+    assert [r.doc_id for r in D.kept(documents(spark, docs), bench).collect()] == [3]
+
+
 def test_empty_tables(spark):
     items, docs = planted()
     bench = spark.createDataFrame(items, "item_id long, text string")
