@@ -2,9 +2,9 @@
 
 A k-mer of code points is an anchor when the smallest hash among its s-mers lies at its first or last place. The choice
 looks at nothing outside the k-mer, so an unchanged passage keeps its anchors wherever it stands. ``anchors`` gives them
-with their positions; ``fingerprint`` keeps the ``SKETCH`` smallest anchor hashes of a text in ascending order, eight hex
-digits each. Likeness is the Jaccard estimate on the smallest hashes of both sketches together: exact for texts with at
-most ``SKETCH`` anchors, 1 for equal texts.
+with their positions; ``fingerprint`` keeps the different anchor hashes of a text in ascending order, eight hex digits
+each, so that it grows with the text. Likeness is the Jaccard index of both sets of hashes, 1 for equal texts. Positions are
+not kept, and matching does not use them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import mix, small, table, tasks
 
-K, S, SKETCH = 12, 5, 64
+K, S = 12, 5
+#: How many of the smallest hashes a fingerprint keeps; None: all.
+SKETCH = None
 _BASE = 0x9E3779B97F4A7C15
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -58,15 +60,7 @@ def anchors(points: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.
 
 
 def sketch(points: np.ndarray) -> np.ndarray:
-    h = (anchors(points)[1] >> np.uint64(32)).astype(np.uint32)
-    if len(h) > 4 * SKETCH:
-        bound = SKETCH
-        while True:  # the smallest SKETCH different hashes
-            part = np.unique(np.partition(h, bound)[: bound + 1]) if bound < len(h) - 1 else np.unique(h)
-            if len(part) > SKETCH or bound >= len(h) - 1:
-                return part[:SKETCH]
-            bound = min(len(h) - 1, 4 * bound)
-    return np.unique(h)[:SKETCH]
+    return np.unique((anchors(points)[1] >> np.uint64(32)).astype(np.uint32))[:SKETCH]
 
 
 def to_text(values: np.ndarray) -> str:
@@ -74,11 +68,11 @@ def to_text(values: np.ndarray) -> str:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard estimate of two sketches; two empty texts are alike, an empty one is like no other."""
+    """Jaccard index of two sketches; two empty texts are alike, an empty one is like no other."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both, counts = np.unique(np.concatenate([a, b]), return_counts=True)
-    return float((counts[:SKETCH] == 2).mean()) if len(both) > SKETCH else float((counts == 2).mean())
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
 
 
 def edited(text: str, following: str) -> str:

@@ -64,3 +64,12 @@ def test_likeness():
     a, b = (syncmers.sketch(syncmers.code_points(text(x, 300))) for x in (1, 2))
     none = syncmers.sketch(syncmers.code_points(""))
     assert syncmers.likeness(a, a) == 1 and syncmers.likeness(a, b) < 0.1 and syncmers.likeness(none, none) == 1 and syncmers.likeness(a, none) == 0
+
+
+def test_long_texts_that_share_a_passage():
+    shared = text(900, 60)
+    for seed in range(12):
+        a, b = (syncmers.code_points(" ".join(str(hash((seed, x, i))) for i in range(1500)) + " " + shared) for x in (10, 60))
+        p, q = ({h >> 32 for h in syncmers.anchors(v)[1].tolist()} for v in (a, b))
+        exact = len(p & q) / len(p | q)
+        assert exact > 0 and abs(syncmers.likeness(syncmers.sketch(a), syncmers.sketch(b)) - exact) < 1e-12
