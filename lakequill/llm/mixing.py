@@ -6,7 +6,8 @@ its sources to their quotas. The flow through a pattern says how many whole copi
 words a seeded part of them adds.
 
 That part is chosen by a hash of the document: histograms of the hash, refined until few rows are left, give a threshold
-below which every document is taken; the rows just above it fill the rest. No group is sorted or gathered as a whole, and
+below which every document is taken; the rows just above it fill the rest. While rows beyond these would still fit, the
+threshold is chosen again over them, without those larger than what is left. No group is sorted or gathered as a whole, and
 only one row for each pattern and source reaches the driver.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -111,7 +112,7 @@ def min_cost_flow(patterns: dict[tuple[str, ...], int], quotas: dict[str, float]
 
 
 def _threshold(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pattern, lo) below whose hash all rows get one more copy, and the rows from there on that fill what is left."""
+    """(pattern, lo, hi, rem): below lo all rows get one more copy; and the rows from there to hi that fill what is left, rem."""
     state = plan.filter("rem > 0").select("pattern", F.lit(0).cast("long").alias("lo"), F.lit(_RANGE).cast("long").alias("hi"), "rem")
     while True:
         width = F.ceil((F.col("hi") - F.col("lo")) / F.lit(float(BUCKETS))).cast("long")
@@ -126,21 +127,53 @@ def _threshold(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = materialise(last.select("pattern", (F.col("lo") + F.col("cut") * width).alias("lo"), F.least("hi", F.col("lo") + (F.col("z.bucket") + 1) * width).alias("hi"), (F.col("rem") - F.col("below")).alias("rem"), F.col("z.n").alias("n"), width.alias("width")))
         state = new.select("pattern", "lo", "hi", "rem")
         if new.filter(f"n > {ZONE_MOST} and width > 1").isEmpty():
-            return state.select("pattern", "lo"), rows.join(F.broadcast(state), "pattern").filter("u >= lo and u < hi").select("pattern", "row", "u", "size", "rem")
+            return state, rows.join(F.broadcast(state), "pattern").filter("u >= lo and u < hi").select("pattern", "row", "u", "size", "rem")
 
 
 def fill(group: pd.DataFrame) -> pd.DataFrame:
-    """Of the rows above the threshold, those that fit what is left, in the order of the hash, and one that comes nearer to it."""
+    """Of the rows above the threshold, those that fit what is left, in the order of the hash."""
     group = group.sort_values(["u", "row"])
     left, taken = float(group["rem"].iloc[0]), []
-    for row, size in zip(group["row"], group["size"], strict=True):
-        if 0 < size <= left:
-            taken.append(row)
-            left -= size
-    rest = group[~group["row"].isin(taken) & (group["size"] > 0) & (group["size"] < 2 * left)]
-    if len(rest):
-        taken.append(rest["row"].iloc[(rest["size"] - left).abs().to_numpy().argmin()])
-    return pd.DataFrame({"row": pd.Series(taken, dtype="int64")})
+    for size in group["size"]:
+        taken.append(0 < size <= left)
+        left -= size if taken[-1] else 0
+    return group.loc[taken, ["pattern", "row", "size"]]
+
+
+def _filled(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pattern, bands): rows whose hash and size lie in one of these get one more copy; and (row): so do these rows.
+
+    Each round takes what lies below a threshold among the rows beyond the last round's that are not larger than what is
+    left, and fills up from the rows just above it; it ends when no row beyond fits. At last one larger row is taken if it
+    comes nearer.
+    """
+    state = materialise(plan.filter("rem > 0").select("pattern", "rem", F.lit(0).cast("long").alias("start")))
+    bands, fitted, left, first = None, None, None, True
+    while True:
+        usable = rows.join(F.broadcast(state), "pattern").filter("u >= start" if first else "u >= start and size > 0 and size <= rem").select("pattern", "row", "u", "size")
+        cut, zone = _threshold(usable, state)
+        new = materialise(zone.groupBy("pattern").applyInPandas(fill, "pattern array<string>, row long, size long"))
+        ends = cut.select("pattern", F.col("lo").alias("end"))
+        band = state.join(ends, "pattern", "left").select("pattern", F.struct("start", F.coalesce("end", F.lit(_RANGE)).alias("end"), (F.lit(float("inf")) if first else F.col("rem")).alias("most")).alias("band"))
+        below = usable.join(F.broadcast(state.join(cut, "pattern", "left_anti")), "pattern").groupBy("pattern").agg(F.sum("size").alias("used"))
+        over = state.join(cut.select("pattern"), "pattern", "left_anti").join(below, "pattern", "left").select("pattern", (F.col("rem") - F.coalesce("used", F.lit(0))).alias("rem"), F.lit(_RANGE).alias("start"))
+        used = new.groupBy("pattern").agg(F.sum("size").alias("used"))
+        after = materialise(cut.join(used, "pattern", "left").select("pattern", (F.col("rem") - F.coalesce("used", F.lit(0))).alias("rem"), F.col("hi").alias("start")).unionByName(over))
+        fits = rows.join(F.broadcast(after), "pattern").filter("u >= start and size > 0 and size <= rem").select("pattern").distinct()
+        next_ = materialise(after.join(fits, "pattern", "left_semi"))
+        ended = after.join(next_, "pattern", "left_anti").select("pattern", "rem")
+        bands, fitted, left = (x if y is None else y.unionByName(x) for x, y in ((band, bands), (new.select("row"), fitted), (ended, left)))
+        if next_.isEmpty():
+            break
+        state, first = next_, False
+    bands = materialise(bands.groupBy("pattern").agg(F.collect_list("band").alias("bands")))
+    near = rows.join(F.broadcast(left.filter("rem > 0")), "pattern").filter("size > rem and size < 2 * rem").join(F.broadcast(bands), "pattern").filter(~_within())
+    near = near.join(fitted, "row", "left_anti").groupBy("pattern").agg(F.min(F.struct("size", "u", "row")).alias("x")).select("x.row")
+    return bands, fitted.unionByName(near)
+
+
+def _within() -> Column:
+    return F.exists("bands", lambda b: (F.col("u") >= b["start"]) & (F.col("u") < b["end"]) & (F.col("size") <= b["most"]))
 
 
 def mix(docs: DataFrame, sources: str = "sources", size: str = "size", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
@@ -171,10 +204,9 @@ def mix(docs: DataFrame, sources: str = "sources", size: str = "size", weights:
         plan.append((list(p), sizes.get(p[0], 0) if p else 0, asked.get(p[0], 0.0) if p else 0.0, whole, flow[p] - whole * n if whole < most else 0.0))
     spark = docs.sparkSession
     plan = materialise(spark.createDataFrame(plan, "pattern array<string>, source_size long, target double, whole int, rem double"))
-    below, zone = _threshold(rows.select("pattern", "row", "u", "size"), plan)
-    more = zone.groupBy("pattern").applyInPandas(fill, "row long").withColumn("extra", F.lit(1))
-    out = rows.join(F.broadcast(plan), "pattern").join(F.broadcast(below), "pattern", "left").join(more, "row", "left")
-    reached = F.when(F.col("rem") <= 0, 0).when(F.col("lo").isNull() | (F.col("u") < F.col("lo")), 1).otherwise(F.coalesce("extra", F.lit(0)))
+    bands, more = _filled(rows.select("pattern", "row", "u", "size"), plan)
+    out = rows.join(F.broadcast(plan), "pattern").join(F.broadcast(bands), "pattern", "left").join(more.withColumn("extra", F.lit(1)), "row", "left")
+    reached = F.when(F.col("rem") <= 0, 0).when(_within(), 1).otherwise(F.coalesce("extra", F.lit(0)))
     out = out.withColumn("copies", F.when(F.size("pattern") == 0, 0).otherwise(F.least(F.col("whole") + reached, F.lit(most))).cast("int"))
     return out.select("doc_id", "sources", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

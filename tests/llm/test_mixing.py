@@ -118,6 +118,14 @@ def test_refined_thresholds(spark, monkeypatch):
     check([x.asDict() | {"source": "abc"[x.doc_id % 3]} for x in mixing.mix(mixing.words(documents(spark, rows))).collect()])
 
 
+def test_rows_beyond_a_huge_one_fill_the_target(spark):
+    at = spark.range(10_000, 11_000).selectExpr("id", f"pmod(xxhash64({mixing.SEED}, id), {mixing._RANGE}) / {mixing._RANGE} AS u")
+    huge = at.filter("u between 0.4 and 0.45").first().id  # it straddles the threshold
+    df = spark.createDataFrame([(i, ["a"], 50) for i in range(3000)] + [(huge, ["a"], 100_000)], "doc_id long, sources array<string>, size long")
+    got = mixing.mix(df).collect()
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 25
+
+
 def test_overlapping_sources(spark):
     df = spark.createDataFrame([(i, [["a"], ["b"], ["a", "b"], [None, "a", "a"], [], None][i % 6], 10 if i % 7 else None) for i in range(600)], "doc_id long, sources array<string>, size long")
     got = mixing.mix(df).collect()
