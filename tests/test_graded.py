@@ -1,8 +1,7 @@
 """Every registered query of the dialect against DuckDB."""
 
 import pytest
-from compare import connection, same
-from conftest import DATA
+from compare import DATA, connection, same
 
 from lakequill.plans import graded
 
