@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
@@ -61,6 +61,19 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from these that no column of df has, whatever the case."""
+    taken, end = {c.lower() for c in df.columns}, "_"
+    while any(f"{n}{end}".lower() in taken for n in names):
+        end += "_"
+    return [n + end for n in names]
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, with dots or other signs in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
+from collections import defaultdict
 
+import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from samples import AWKWARD, DATA, documents
@@ -30,6 +33,40 @@ def brute(t):
     return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
 
 
+def brute_values(texts):
+    """The bootstrap in plain loops: (value) of every discovered candidate, lower case."""
+    edges, totals = defaultdict(int), defaultdict(int)
+    for t in texts:
+        base = [(int(a), int(b)) for _, a, b in (x.split(":") for x in brute(t).split(",") if x)]
+        places = [(a, b, t[a:b], 1, False) for a, b in base]
+        for m in regex.finditer(pii.CANDIDATE, t):
+            if len(m[0]) >= pii.LEAST and not any(a < m.end() and m.start() < b for a, b in base):
+                places.append((m.start(), m.end(), m[0], int(bool(regex.match(pii.SHAPES, m[0]))), True))
+        for a, b, what, seed, is_open in places:
+            first, last = a + len(regex.match(r"[^\p{L}\p{N}]*", what)[0]), b - len(regex.search(r"[^\p{L}\p{N}]*$", what)[0])
+            for side, m in ((0, regex.search(pii.LEFT + "$", t[:first].lower())), (1, regex.match(pii.RIGHT, t[last:].lower()))):
+                if m:
+                    edges[(side, m[0]), what.lower(), seed, is_open] += 1
+        for side, every in enumerate(pii.EVERY):
+            for m in regex.finditer(every, t.lower()):
+                totals[side, m[0]] += 1
+    found: dict = {}
+    while True:
+        weight, support = defaultdict(float), defaultdict(int)
+        for (p, v, seed, _), n in edges.items():
+            w = max(seed, found.get(v, 0.0))
+            weight[p] += n * w
+            support[p] += w > 0
+        score = {p: min(1.0, weight[p] / totals[p]) for p in weight if totals[p]}
+        new: dict = {}
+        for p, v, _, is_open in edges:
+            if is_open and support[p] >= pii.SUPPORT and score.get(p, 0) >= pii.SCORE:
+                new[v] = max(new.get(v, 0), score[p])
+        if len(new) == len(found):
+            return set(new)
+        found = new
+
+
 ODD = [
     "a@b.c_x@y.z a@b.c@d.e", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.0004", "+1 (988) 555-2485+44 20 7946 0958", "4111 1111 1111 1111, 4111-1111-1111-1111 4111111111111111",
     "é😀 foo@bar.com 10.0.0.1😀+12345678901", "@@a@b.c..d@e.f.", "1" * 5000, "1 " * 20000, "+1" * 3000, "a" * 30000 + "@b.c", ".".join(["12"] * 5000), "+1((((((((" * 500, "5 4111111111111111", "x@y", "0.0.0.0.",
@@ -55,6 +92,11 @@ def test_base_on_random_texts(spark, texts):
     assert sorted((d, b) for d, b, _ in spans_of(spark, rows)) == [(d, brute(t)) for d, t in rows]
 
 
+def discovered(spark, texts):
+    rows = list(enumerate(texts))
+    return {(d, x) for d, b, s in spans_of(spark, rows) for x in s.split(",") if x.startswith("id:")}
+
+
 def test_contexts_find_unseen_identifiers(spark):
     rows = [(i, f"some words, contact: user{i}@mail.example.com and more") for i in range(40)]
     rows += [(100 + i, f"other words, contact: handle-{i}9{i}7 and more") for i in range(4)]
@@ -66,6 +108,39 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(s == b == f"email:{21}:{21 + len(f'user{d}@mail.example.com')}" for d, (b, s) in got.items() if d < 40) or all(b and b in s for d, (b, s) in got.items() if d < 40)
 
 
+def test_planted_identifiers_and_decoys(spark):
+    r, texts, planted, keys = random.Random(4), [], set(), set()
+    words = lambda n: " ".join("".join(r.choice("aeioulnrst") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    key = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    forms = ['token = "{}"', "Member no: {};", "{} identifies me", "(passport {})", "client_id={}&", "PWD = '{}'"]
+    for i in range(900):
+        left, right, kind = words(30), words(30), i % 9
+        if kind < 3:  # seeds beside what the forms' contexts hold
+            what = [f"u{i}@m.example.com", f"+1 555 0{i:03d}-2485", key(40)][kind]
+            texts.append(f"{left} {(head := forms[i // 9 % 6]).format(what)} {right}")
+            keys |= {(i, f"id:{(at := len(left) + 1 + head.index('{'))}:{at + 40}")} if kind == 2 else set()
+        elif kind < 5:
+            what = [f"x{i}-{key(7)}9", f"{key(200)}0", f"7{i:05d}"][i % 3]
+            texts.append(f"{left} {(head := forms[i // 9 % 6]).format(what)} {right}")
+            planted.add((i, f"id:{len(left) + 1 + head.index('{')}:{len(left) + 1 + head.index('{') + len(what)}"))
+        else:  # decoys: strings of digits and keys between common words, versions, dates
+            texts.append(f"{left} the {r.choice([key(40), str(r.randrange(10**15)) + '1', '2021-01-07', 'Version 2.01.0034'])} of {right}")
+    got = discovered(spark, texts)
+    assert len(got & planted) >= 0.9 * len(planted) and len(got - planted - keys) <= 0.1 * len(got)
+    assert {texts[d][int(x.split(":")[1]) : int(x.split(":")[2])].lower() for d, x in got} <= brute_values(texts)
+
+
+def test_bootstrap_follows_chains_and_equals_brute_force(spark):
+    """Values found in one round raise patterns that find others, several steps from the seeds."""
+    texts = [f"mail is: me{i}@ex.org now" for i in range(80)]
+    for step, (here, there) in enumerate([("is", "card"), ("card", "badge"), ("badge", "desk"), ("desk", "room")]):
+        texts += [f"so {here}: v{step}-{i}77 then" for i in range(4)] + 20 * [f"so {there}: v{step}-{i}77 then" for i in range(4)]
+    texts += ["so room: last-0099 then", "so lamp: other-0099 again", "", None, "mail is:  me@ex.org", *ODD]
+    got = discovered(spark, texts)
+    values = {texts[d][int(x.split(":")[1]) : int(x.split(":")[2])].lower() for d, x in got}
+    assert values == brute_values([t or "" for t in texts]) and {"v3-377", "last-0099"} <= values and "other-0099" not in values
+
+
 def test_redaction(spark):
     rows = [(1, "mail é a@b.cd now 4111111111111111 or +1 (988) 555-2485"), (1, "same id, x@y.zz"), (2, "nothing"), (3, None), (4, ""), (5, "+4111111111111111 both"), (None, "q@r.st")]
     df = documents(spark, rows)
@@ -76,6 +151,24 @@ def test_redaction(spark):
     assert texts == sorted(((d, t, len(t) if t is not None else None) for d, t in want), key=repr)
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail a@b.cd", 7), (1, "mail a@b.cd", 8), (2, None, 9)]
+    for name in ("_id", "id_", "_new", "text_", "hash_", "spans_", "more_", "x.y", "TEXT_", "row"):
+        df = spark.createDataFrame(rows, "doc_id long, text string, n long").withColumnRenamed("n", name)
+        got = pii.redacted(df)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "mail [EMAIL]", 7), (1, "mail [EMAIL]", 8), (2, None, 9)], key=repr)
+    assert pii.redacted(df.limit(0)).count() == 0
+
+
+def test_tokens_of_the_documents(spark):
+    """Of sf0.1 every key in ``token = "..."`` is found, and nothing else."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").collect()}
+    want = {(d, f"id:{m.start(1)}:{m.end(1)}") for d, t in docs.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    got = {(r.doc_id, x) for r in pii.query(spark, f"{DATA}/sf0.1").select("doc_id", "spans").collect() for x in r.spans.split(",") if x.startswith("id:")}
+    assert len({d for d, _ in want}) == 143 and got == want
+
+
 def test_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
     got = pii.query(spark, f"{DATA}/sf0.01")
