@@ -1,16 +1,22 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes a list of text blocks, each with its root-to-leaf tag path. Text length, punctuation and linked text are
-aggregated by path, as ratios to the path's blocks; both ratios are smoothed over the blocks in page order, fused into one
-score, and paths below a share of the text-weighted mean score are left out. The element that holds most of the selected
-text is the content; its blocks are the result, without those under elements that name themselves as something else (the
-fixed words below) and without lists of links.
+A page becomes a list of text blocks, each with its root-to-leaf tag path (tags with their class names). Text length and
+punctuation are aggregated by path and divided by the path's blocks. The ratios are smoothed over the blocks in page order;
+a path's own and its smoothed ratio are fused, with the share of its text that is no link, with how much text the containers
+of its blocks hold (which counts less within an article; a title may stand alone), and with what tags and names along the path say (log-odds, the fixed words below) into one score. The
+text of a page is that of the blocks whose path scores at least a share of the text-weighted mean score.
+
+Names are evidence among other evidence. An element that is named as something else but holds nearly all text of the page,
+in several paths, is a layout wrapper, and its name says nothing. Only what is no text at all is left out before scoring:
+scripts, styles, forms and hidden elements. Nothing depends on the depth or the length of a page, and time is linear in it.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +27,7 @@ from .common import small, table
 
 # Names of HTML elements and the words by which pages name what is not their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head script style noscript template svg iframe object audio video canvas map nav aside footer form button select option textarea input label fieldset dialog menu datalist progress meter".split())
+DROPPED = frozenset("head script style noscript template svg iframe object audio video canvas map form button select option textarea input label fieldset datalist progress meter".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th br nobr center label input button select option".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -33,113 +39,125 @@ WORDS = frozenset(
     " footer foot masthead topbar toolbar sidebar sidebars aside rail widget widgets related recommended recommendations trending popular"
     " comment comments disqus respond replies reply discussion"
     " cookie cookies cookiebar cookiebanner cookienotice consent gdpr notice notices alert alerts warning popup modal overlay paywall newsletter subscribe subscription signup login"
-    " share sharing social copyright legal disclaimer search form hidden".split()
+    " share sharing social copyright legal disclaimer search form".split()
 )
 HEADER_WORDS = frozenset("header head top".split())
-#: Of an article rather than of a page, if they stand beside the words before.
-TITLE_WORDS = frozenset("article post entry content story title headline main page section".split())
+#: Of an article rather than of a page.
+TITLE_WORDS = frozenset("article post entry content story title headline main page section body text analysis".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tooltip status".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
+TEXTUAL = frozenset("p blockquote pre li dd dt td th tr figcaption h2 h3 h4 h5 h6".split())
+OTHER = frozenset("nav menu footer aside header dialog".split())
+#: Not containers of text by themselves: what holds them is.
+PARTS = frozenset("li ul ol dl dt dd table tbody thead tfoot tr blockquote figure figcaption pre header hgroup p h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡«»“”\"()]")
 
-SPREAD, SHARE, HELD, LINKED = 1.0, 0.4, 0.8, 0.75
-#: Elements nested deeper than this count as part of the one at this depth, as in browsers; their text stays.
-DEEPEST = 512
+#: Width of the smoothing; the ratio at which a path counts half; the share of the mean, and the least score, that select a path.
+SPREAD, HALF, SHARE, LEAST = 1.0, 60.0, 0.1, 0.0125
+#: Log-odds: a name of something else, a tag or role of something else, article or main, a name of an article, a title, a tag of running text.
+NAMED, TAGGED, INSIDE, CALLED, TITLE, RUNNING = -4.5, -5.0, 1.5, 0.7, 1.5, 0.7
+#: Shares of the page's text between which an element's name loses its weight.
+WRAPS = (0.8, 0.95)
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+#: After a quote that never ends: tags end at the next sign.
+_BROKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)()()()", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_BIT = {t: 1 << i for i, t in enumerate(sorted({"p"} | HEADINGS | {t for ts in CLOSED_BY.values() for t in ts}))}
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "drop", "own", "depth")
-
-    def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
-        named = _HUMP.sub(" ", " ".join((attributes.get("class", ""), attributes.get("id", "")))).lower()
-        self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
-        label = tag + "".join(f".{w}" for w in sorted(set(_TOKEN.findall(attributes.get("class", "").lower()))))
-        self.path = f"{parent.path}/{label}" if parent else label
-        self.own = self._boilerplate(tag, attributes, named)
-        self.drop = self.own or bool(parent and parent.drop)
-
-    def _boilerplate(self, tag: str, attributes: dict[str, str], named: str) -> bool:
-        if tag in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES:
-            return True
-        if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-            return True
-        words = set(_TOKEN.findall(named))
-        if tag in ("html", "body", "main"):
-            return False
-        if tag == "header":
-            return not self.within(MAIN)
-        if words & WORDS:
-            return tag != "article" or bool(words & {"comment", "comments", "reply", "replies", "ad", "ads", "sponsored", "promo", "related"})
-        return bool(words & HEADER_WORDS) and not words & TITLE_WORDS and not self.within(MAIN) and tag in ("div", "section")
-
-    def within(self, tags: frozenset[str]) -> bool:
-        at = self.parent
-        while at is not None:
-            if at.tag in tags:
-                return True
-            at = at.parent
-        return False
+    """An element with all that its blocks need to know about what lies above it."""
+
+    __slots__ = ("tag", "path", "parent", "own", "drop", "linked", "inside", "called", "tagged", "named", "outer", "block", "container", "closable", "heads")
+
+    def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None, paths: dict):
+        self.tag, self.parent, up = tag, parent, parent
+        classes = attributes.get("class", "")
+        self.path = paths.setdefault((up.path if up else -1, tag, tuple(sorted(set(_TOKEN.findall(classes.lower()))))), len(paths))
+        words = set(_TOKEN.findall(_HUMP.sub(" ", f"{classes} {attributes.get('id', '')}").lower())) if tag not in ("html", "body") else set()
+        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        self.inside = bool(up and up.inside)
+        other = bool(words & WORDS) or bool(words & HEADER_WORDS) and not words & TITLE_WORDS and not self.inside and tag in ("div", "section")
+        if tag in MAIN and (tag == "main" or not words & {"comment", "comments", "reply", "replies", "ad", "ads", "sponsored", "promo", "related"}):
+            self.inside, other = True, False
+        self.own = other or hidden or tag in DROPPED
+        self.drop = bool(up and up.drop) or hidden or tag in DROPPED
+        self.linked = tag == "a" or bool(up and up.linked)
+        self.called = bool(up and up.called) or bool(words & TITLE_WORDS) and not other
+        self.heads = tag in HEADINGS or bool(up and up.heads)
+        away = (tag in OTHER and not (tag == "header" and self.inside)) or attributes.get("role", "").lower() in ROLES
+        self.tagged = 2 if away or bool(up and up.tagged == 2) else 1 if tag == "header" or bool(up and up.tagged == 1) else 0
+        self.outer = up.named if up else None  # the next one above that is named as something else
+        self.named = self if other else self.outer
+        block = tag not in INLINE or self.own or up is None
+        self.block = self if block else up.block
+        self.container = self if (block and tag not in PARTS) or up is None else up.container
+        #: Which elements that a new one may end are open since the last scope.
+        self.closable = 0 if tag in SCOPES else (up.closable if up else 0) | _BIT.get(tag, 0)
 
 
 class Block:
-    __slots__ = ("text", "element", "linked", "index")
+    __slots__ = ("text", "element", "linked")
 
-    def __init__(self, text: str, element: Element, linked: int, index: int):
-        self.text, self.element, self.linked, self.index = text, element, linked, index
+    def __init__(self, text: str, element: Element, linked: int):
+        self.text, self.element, self.linked = text, element, linked
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with their innermost block element; entities decoded, white space joined."""
-    root = Element("html", {}, None)
-    stack, out = [root], []
+    paths: dict = {}
+    root = Element("html", {}, None, paths)
+    stack, out, open_ = [root], [], Counter()
     pieces: list[tuple[str, bool]] = []
 
     def flush() -> None:
         if pieces:
             text = " ".join("".join(p for p, _ in pieces).split())
-            if text:
-                at = next(e for e in reversed(stack) if e.tag not in INLINE)
-                if any(e.drop for e in stack[at.depth :]) and not at.drop:
-                    at = next(e for e in reversed(stack) if e.drop)
-                out.append(Block(text, at, sum(len("".join(p.split())) for p, linked in pieces if linked), len(out)))
+            if text and not stack[-1].drop:
+                out.append(Block(text, stack[-1].block, sum(len("".join(p.split())) for p, linked in pieces if linked)))
             pieces.clear()
 
+    def push(element: Element) -> None:
+        stack.append(element)
+        open_[element.tag] += 1
+
+    def cut(i: int) -> None:
+        if any(e.block is e for e in stack[i:]):
+            flush()
+        for e in stack[i:]:
+            open_[e.tag] -= 1
+        del stack[i:]
+
     def close(tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                if any(e.tag not in INLINE for e in stack[i:]) or any(e.own for e in stack[i:]):
-                    flush()
-                del stack[i:]
-                return
+        if open_[tag] > 0:
+            cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
 
     def opened(tags: tuple[str, ...]) -> None:
         """Ends the elements of these names that a new one ends, up to the next scope."""
-        first = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                first = i
-            elif stack[i].tag in SCOPES:
-                break
-        if first is not None:
-            if any(e.tag not in INLINE for e in stack[first:]):
-                flush()
-            del stack[first:]
-
-    at, end = 0, len(page)
+        if stack[-1].closable & sum(_BIT[t] for t in tags):
+            first = None
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    first = i
+                elif stack[i].tag in SCOPES:
+                    break
+            cut(first)
+
+    at, end, tags = 0, len(page), _TAG
     while at < end:
-        m = _TAG.search(page, at)
+        m = tags.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            pieces.append((html.unescape(page[at:stop]), any(e.tag == "a" for e in stack)))
+            pieces.append((html.unescape(page[at:stop]), stack[-1].linked))
         if not m:
             break
         at = m.end()
+        if m[5]:
+            tags = _BROKEN
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -150,8 +168,8 @@ def blocks(page: str) -> list[Block]:
             flush()
             if tag == "body":
                 close("head")
-            if tag == "body" and not any(e.tag == "body" for e in stack):
-                stack.append(Element("body", {}, stack[-1]))
+                if not open_["body"]:
+                    push(Element("body", {}, stack[-1], paths))
             continue
         if tag in RAW:
             closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -163,19 +181,17 @@ def blocks(page: str) -> list[Block]:
             opened(CLOSED_BY[tag])
         if tag in HEADINGS:
             opened(tuple(HEADINGS))
-        attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3] or "")}
-        if tag in ("br", "td", "th", "img", "wbr"):
-            if tag != "wbr":
-                pieces.append((" ", False))
+        if tag in ("br", "td", "th", "img"):
+            pieces.append((" ", False))
         if tag in VOID:
             if tag not in INLINE:
                 flush()
             continue
-        element = Element(tag, attributes, stack[-1])
-        if tag not in INLINE or element.own:
+        attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3] or m[6] or "")}
+        element = Element(tag, attributes, stack[-1], paths)
+        if element.block is element:
             flush()
-        if len(stack) < DEEPEST:
-            stack.append(element)
+        push(element)
     flush()
     return out
 
@@ -187,73 +203,82 @@ def _smoothed(x: np.ndarray) -> np.ndarray:
     return np.convolve(padded, kernel, "valid")
 
 
-def path_scores(found: list[Block]) -> dict[str, float]:
-    """The fused score of each path: smoothed text and punctuation ratios, less the share of linked text."""
-    totals: dict[str, list[float]] = {}
+def _weights_of_names(found: list[Block]) -> dict[Element, float]:
+    """The log-odds that each element named as something else gives to what it holds."""
+    total = max(1, sum(len(b.text) - b.linked for b in found))
+    mass: dict[Element, int] = {}
+    paths: dict[Element, set[int]] = {}  # at most two of each
+    for b in found:
+        e = b.element.named
+        if e is not None:
+            mass[e] = mass.get(e, 0) + len(b.text) - b.linked
+            if len(p := paths.setdefault(e, set())) < 2:
+                p.add(b.element.path)
+    order, seen = [], set()
+    for e in list(mass):
+        chain = []
+        while e is not None and e not in seen:
+            seen.add(e)
+            chain.append(e)
+            e = e.outer
+        order += reversed(chain)  # those above come first
+    for e in reversed(order):
+        if e.outer is not None:
+            mass[e.outer] = mass.get(e.outer, 0) + mass.get(e, 0)
+            paths.setdefault(e.outer, set()).update(list(paths.get(e, ()))[: 2 - len(paths.get(e.outer, ()))])
+    out: dict[Element, float] = {}
+    for e in order:
+        share = mass.get(e, 0) / total
+        keep = 1.0 if len(paths.get(e, ())) < 2 else 1.0 - min(1.0, max(0.0, (share - WRAPS[0]) / (WRAPS[1] - WRAPS[0])))
+        out[e] = min(NAMED * keep, out[e.outer] if e.outer is not None else 0.0)
+    return out
+
+
+def path_scores(found: list[Block]) -> dict[int, float]:
+    """The fused score of each path."""
+    names = _weights_of_names(found)
+    totals: dict[int, list[float]] = {}
+    held: dict[Element, float] = {}
+    log: list[float] = []
     for b in found:
         t = totals.setdefault(b.element.path, [0.0, 0.0, 0.0, 0.0])
         for i, v in enumerate((len(b.text), len(PUNCTUATION.findall(b.text)), b.linked, 1)):
             t[i] += v
-    text = _smoothed(np.array([totals[b.element.path][0] / totals[b.element.path][3] for b in found]))
-    marks = _smoothed(np.array([totals[b.element.path][1] / totals[b.element.path][3] for b in found]))
-    sums: dict[str, float] = {}
-    for b, t, c in zip(found, text, marks, strict=True):
-        sums[b.element.path] = sums.get(b.element.path, 0.0) + float(np.sqrt(t * (1 + c)))
+        e = b.element
+        odds = names.get(e.named, 0.0)
+        if e.tagged == 2 or e.tagged == 1 and not e.heads:
+            odds = min(odds, TAGGED)
+        log.append(odds)
+        held[e.container] = held.get(e.container, 0.0) + (len(b.text) - b.linked) * math.exp(odds)
+    own = np.array([totals[b.element.path][0] / totals[b.element.path][3] * (1 + totals[b.element.path][1] / totals[b.element.path][3]) for b in found])
+    own = own / (own + HALF)
+    fused = np.sqrt(own * _smoothed(own))
+    most = max(held.values()) or 1.0
+    sums: dict[int, float] = {}
+    for b, ratio, odds in zip(found, fused, log, strict=True):
+        e = b.element
+        odds += INSIDE * e.inside + CALLED * e.called + (TITLE if e.tag == "h1" else RUNNING * (e.tag in TEXTUAL))
+        sums[e.path] = sums.get(e.path, 0.0) + float(ratio) * (1.0 if e.tag == "h1" else (held[e.container] / most) ** (0.5 if e.inside else 1.0)) * math.exp(odds)
     return {p: s / totals[p][3] * (1 - min(1.0, totals[p][2] / max(1.0, totals[p][0]))) for p, s in sums.items()}
 
 
-def _chain(e: Element | None) -> list[Element]:
-    out = []
-    while e is not None:
-        out.append(e)
-        e = e.parent
-    return out
-
-
 def extract(page: str | None) -> str:
-    """The article's blocks, joined by newlines; empty if the page has no text."""
-    found = [b for b in blocks(page or "") if not b.element.drop]
+    """The blocks of the selected paths, joined by newlines; empty if the page has no text."""
+    found = blocks(page or "")
     if not found:
         return ""
     scores = path_scores(found)
-    total = sum(len(b.text) for b in found)
-    level = SHARE * sum(scores[b.element.path] * len(b.text) for b in found) / total
-    chosen = [b for b in found if scores[b.element.path] >= level] or found
-    held: dict[int, int] = {}
-    elements: dict[int, Element] = {}
-    weight = sum(len(b.text) for b in chosen)
-    for b in chosen:
-        for e in _chain(b.element):
-            held[id(e)] = held.get(id(e), 0) + len(b.text)
-            elements[id(e)] = e
-    content = max((e for i, e in elements.items() if held[i] >= HELD * weight), key=lambda e: e.depth)
-    if content.tag not in SCOPES and content.parent is not None:
-        content = content.parent
-    outer = next((e for e in _chain(content) if e.tag in MAIN), None)
-    content = outer or content
-    links: dict[str, list[int]] = {}
-    for b in found:
-        n = links.setdefault(b.element.path, [0, 0, 0])
-        n[0] += b.linked
-        n[1] += len("".join(b.text.split()))
-        n[2] += 1
-    picked = []
-    for b in found:
-        if content not in _chain(b.element):
-            continue
-        linked, length, n = links[b.element.path]
-        if n >= 3 and linked >= LINKED * length and b.element.tag in ("li", "ul", "ol", "div", "tr", "dd", "dt"):
-            continue
-        if any(e.tag == "header" for e in _chain(b.element)) and b.element.tag not in HEADINGS:
-            continue
-        picked.append(b)
-    if picked and not any(b.element.tag == "h1" for b in picked):
-        picked = sorted(picked + [b for b in found if b.element.tag == "h1"][:1], key=lambda b: b.index)
-    return "\n".join(b.text for b in picked)
+    level = max(LEAST, SHARE * sum(scores[b.element.path] * len(b.text) for b in found) / sum(len(b.text) for b in found))
+    return "\n".join(b.text for b in found if scores[b.element.path] >= level)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points) of every row; null or empty html gives an empty text; extra columns are ignored."""
+    """page_id, url, text, n_chars (code points) of every row of pages.
+
+    Null or empty html gives an empty text, as does a page without any content; rows that repeat a page are extracted each;
+    pages of any length and depth are read whole; paths that tie are all taken or all left; an empty table gives an empty
+    result; extra columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):

@@ -1,5 +1,7 @@
 import html
+import random
 import re
+from collections import Counter
 
 import pytest
 from samples import DATA
@@ -33,14 +35,151 @@ def test_pages(page, text):
 def test_hostile_pages_stay_quick():
     assert html_text.extract("<div>" * 50000 + "x") == "x"
     assert len(html_text.extract("<b>y" * 50000)) == 50000
-    assert html_text.extract('<a href="x>t' * 20000)
+    assert html_text.extract('<a href="x>t' * 20000) == ""  # all of it is linked
     assert html_text.extract("<p>word, word." * 20000).count("\n") == 19999
+    assert html_text.extract("<div><p>word, word." * 20000).count("\n") == 19999
+    assert html_text.extract("<p>" + "<b>" * 20000 + "</i><p>w</p>" * 20000)
+    assert html_text.extract("<div><section class=ad>" * 20000 + "words, and words") == ""
+    assert html_text.extract('<a ">" ' * 20000 + '"') is not None and html_text.extract("<p>w</p>" + '<a ">">t' * 20000)
+
+
+def by_path(found):
+    return {b.text: html_text.path_scores(found)[b.element.path] for b in found}
 
 
 def test_path_scores_tell_paragraphs_from_menus():
-    found = html_text.blocks("<div class=m><a>Home</a></div><div class=m><a>News</a></div>" + "<p>Some words, and more of them, here.</p>" * 8 + "<div class=m><a>About</a></div>")
-    scores = html_text.path_scores(found)
-    assert scores["html/p"] > 3 * scores["html/div.m"]
+    found = html_text.blocks("<div class=m><a>Home</a> x</div><div class=m><a>News</a> y</div>" + "<p>Some words, and more of them, here.</p>" * 8 + "<div class=m><a>About</a> z</div>")
+    scores = by_path(found)
+    assert scores["Some words, and more of them, here."] > 3 * scores["Home x"]
+
+
+def brute_scores(found):
+    """The score's definition, block by block with plain loops; names and containers by walking up each time."""
+    import math
+
+    def up(e):
+        while e is not None:
+            yield e
+            e = e.parent
+
+    def smooth(x, i):
+        k = [math.exp(-0.5 * (j / html_text.SPREAD) ** 2) for j in range(-2, 3)]
+        return sum(w * x[min(max(i + j, 0), len(x) - 1)] for w, j in zip(k, range(-2, 3), strict=True)) / sum(k)
+
+    total = max(1, sum(len(b.text) - b.linked for b in found))
+
+    def odds(b):
+        out = 0.0
+        for e in up(b.element):
+            if e.named is e:
+                below = [x for x in found if e in up(x.element)]
+                share = sum(len(x.text) - x.linked for x in below) / total
+                lo, hi = html_text.WRAPS
+                out = min(out, html_text.NAMED * (1 if len({x.element.path for x in below}) < 2 else 1 - min(1, max(0, (share - lo) / (hi - lo)))))
+        away = any(e.tag in html_text.OTHER and not (e.tag == "header" and any(x.inside for x in up(e))) for e in up(b.element)) or any(e.tagged == 2 for e in up(b.element))
+        mild = any(e.tag == "header" for e in up(b.element)) and not any(e.tag in html_text.HEADINGS for e in up(b.element))
+        return min(out, html_text.TAGGED) if away or mild else out
+
+    paths = {}
+    for i, b in enumerate(found):
+        paths.setdefault(b.element.path, []).append(i)
+    ratio = {}
+    for p, at in paths.items():
+        r = sum(len(found[i].text) for i in at) / len(at)
+        r *= 1 + sum(len(html_text.PUNCTUATION.findall(found[i].text)) for i in at) / len(at)
+        ratio[p] = r / (r + html_text.HALF)
+    own = [ratio[b.element.path] for b in found]
+    held = Counter()
+    for b in found:
+        held[id(b.element.container)] += (len(b.text) - b.linked) * math.exp(odds(b))
+    most, out = max(held.values()) or 1.0, {}
+    for p, at in paths.items():
+        each = []
+        for i in at:
+            e = found[i].element
+            more = html_text.INSIDE * e.inside + html_text.CALLED * e.called + (html_text.TITLE if e.tag == "h1" else html_text.RUNNING * (e.tag in html_text.TEXTUAL))
+            each.append(math.sqrt(own[i] * smooth(own, i)) * (1 if e.tag == "h1" else (held[id(e.container)] / most) ** (0.5 if e.inside else 1)) * math.exp(odds(found[i]) + more))
+        linked, length = sum(found[i].linked for i in at), sum(len(found[i].text) for i in at)
+        out[p] = sum(each) / len(each) * (1 - min(1, linked / max(1, length)))
+    return out
+
+
+def words(r, n):
+    return " ".join("".join(r.choice("aeiounrstlmd") for _ in range(r.randrange(2, 9))) for _ in range(n))
+
+
+def sentence(r, n):
+    return ", ".join(words(r, r.randrange(4, 9)) for _ in range(n)).capitalize() + "."
+
+
+def template(r, kind):
+    """(page, its article's text): one of several kinds of page; boilerplate under tags, names, or nothing but its shape."""
+    paragraphs = [" ".join(sentence(r, r.randrange(1, 5)) for _ in range(r.randrange(1, 5))) for _ in range(r.randrange(3, 12))]
+    title, points = words(r, 7).capitalize(), [sentence(r, 1) for _ in range(4)]
+    body = [f"<p>{p}</p>" for p in paragraphs]
+    menu = "".join(f"<li><a href=/{i}>{words(r, 2)}</a></li>" for i in range(8))
+    advert, comments, foot = sentence(r, 2), [sentence(r, r.randrange(1, 3)) for _ in range(5)], words(r, 9)
+    text = [title, *paragraphs]
+    if kind % 2:
+        body.insert(2, "<ul>" + "".join(f"<li>{x}</li>" for x in points) + "</ul>")
+        text[3:3] = points
+    heading, inner = f"<h1>{title}</h1>", "".join(body)
+    main = [
+        f"<main><article>{heading}{inner}</article></main>",
+        f"<div class=post>{heading}<div class=entry-content>{inner}</div></div>",
+        f"<div class='wrap has-sidebar no-comments'><div class=c1>{heading}{inner}</div></div>",
+        f"<div class=x7><div class=legal-analysis>{heading}{inner}</div></div>",
+        f"<table><tr><td><div>{heading}{inner}</div></td></tr></table>",
+        f"{heading}{inner}",
+    ][kind % 6]
+    said = "".join(f"<div class=comment><b>{words(r, 1)}</b><p>{c}</p></div>" for c in comments)
+    tops = [f"<header><h2>{words(r, 3)}</h2><nav><ul>{menu}</ul></nav></header>", f"<div id=top-nav class=menu><ul>{menu}</ul></div>", f"<div class=q1><ul>{menu}</ul></div>"]
+    mids = [f"<aside><h3>{words(r, 2)}</h3><p>{advert}</p></aside>", f"<div class='ad-slot banner'>{advert}</div>", f"<div class=sponsored><p>{advert}</p></div>", f"<div class=cookie-consent><p>{advert}</p><button>{words(r, 1)}</button></div>"]
+    ends = [f"<section id=comments><h2>{words(r, 2)}</h2>{said}</section>", f"<div class=comments-area>{said}</div>", f"<form action=/s><label>{words(r, 3)}</label><input></form>"]
+    feet = [f"<footer><p>{foot}</p></footer>", f"<div class=site-footer>{foot}</div>", f"<div id=copyright><a>{words(r, 1)}</a> {foot}</div>"]
+    deep = "<div>" * 700 if kind % 7 == 3 else ""
+    page = "".join([r.choice(tops), "<script>var a='<p>';</script><style>p{}</style>", r.choice(mids), main, r.choice(mids), r.choice(ends), r.choice(feet)])
+    return f"<!DOCTYPE html><html><head><title>{title}</title></head><body class='home sidebar-left'>{deep}{page}</body></html>", text
+
+
+def scrambled(page):
+    """The page without semantic elements and with names that say nothing."""
+    page = re.sub(r"(class|id)=('[^']*'|[\w-]+)", lambda m: f"class=z{'abcdefghij'[len(m[2]) % 10]}q", page)
+    return re.sub(r"<(/?)(nav|aside|footer|header|main|article|section)\b", r"<\1div", page)
+
+
+@pytest.mark.parametrize("change", [lambda page: page, scrambled])
+def test_varied_templates(change):
+    r = random.Random(1)
+    right = got_n = want_n = exact = 0
+    for k in range(600):
+        page, want = template(r, k)
+        page = change(page)
+        got, want = Counter(html_text.extract(page).split()), Counter(" ".join(want).split())
+        right, got_n, want_n, exact = right + sum((got & want).values()), got_n + sum(got.values()), want_n + sum(want.values()), exact + (got == want)
+    assert right / got_n > 0.97 and right / want_n > 0.97 and exact > 0.85 * 600, (right / got_n, right / want_n, exact)
+
+
+def test_scores_equal_their_definition():
+    r = random.Random(2)
+    for page in [PLAIN, *(template(r, k)[0] for k in range(40) if k % 7 != 3), "<header><p>x</p><h1>a</h1></header><div role=menu>x<p>y</p></div><article class=comment><p>z</article>"]:
+        found = html_text.blocks(page)
+        got, want = html_text.path_scores(found), brute_scores(found)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_the_text_comes_from_the_scores(monkeypatch):
+    """With other scores nearly every page gives another text."""
+    r = random.Random(3)
+    pages = [template(r, k)[0] for k in range(60)]
+    before = [html_text.extract(p) for p in pages]
+    monkeypatch.setattr(html_text, "path_scores", lambda found: {b.element.path: 1.0 for b in found})
+    assert sum(html_text.extract(p) != b for p, b in zip(pages, before, strict=True)) > 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("page", ["<div class='ad'>buy, now, it is cheap.</div><p>Words that, all in all, make up a text of a page.</p>" + "<div>" * 600 + "<nav>menu of items</nav>", "<div>" * 600 + "<nav>menu of items</nav>" + "</div>" * 600 + "<p>Words that, all in all, make up a text of a page.</p>", f"<nav data-x='{'y' * 70000}'>menu of items</nav><p>Words that, all in all, make up a text of a page.</p>"])
+def test_no_caps_on_depth_and_attributes(page):
+    assert html_text.extract(page) == "Words that, all in all, make up a text of a page."
 
 
 def test_whole_table(spark):
