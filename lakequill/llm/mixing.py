@@ -5,8 +5,9 @@ once for each copy of its documents, the c-th copy at cost c - 1 (so the total c
 its sources to their quotas. The flow through a pattern says how many whole copies all of its documents get and how many
 words a seeded part of them adds.
 
-That part is chosen by a hash of the document: histograms of the hash, refined until few rows are left, give a threshold
-below which every document is taken; the rows just above it fill the rest. While rows beyond these would still fit, the
+That part is chosen by a hash of the document, its id and content first, so that equal rows stand together, then the row:
+histograms of the hash, refined until few rows are left, give a threshold below which every document is taken; the rows
+just above it fill the rest. While rows beyond these would still fit, the
 threshold is chosen again over them, without those larger than what is left. No group is sorted or gathered as a whole, and
 only one row for each pattern and source reaches the driver.
 """
@@ -19,12 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, named, private, table
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2, 17
 WORD = r"[^\x20\x09-\x0D]+"
-#: Patterns and sources that the driver holds; more is an error, not a cut.
-MOST_PATTERNS = 1_000_000
+#: Patterns, and bytes of their sources' names, that the driver holds; more is an error, not a cut. Executors get a number for each pattern.
+MOST_PATTERNS, MOST_BYTES = 1_000_000, 128 << 20
 BUCKETS, ZONE_LEAST, ZONE_MOST = 4096, 64, 4096
 _RANGE = 1 << 60
 
@@ -47,8 +48,8 @@ def targets(sizes: dict[str, int], weights: dict[str, float], share: float = SHA
 def min_cost_flow(patterns: dict[tuple[str, ...], int], quotas: dict[str, float], most: int = MOST) -> dict[tuple[str, ...], float]:
     """Words that flow through each pattern at the least cost of the greatest flow.
 
-    A pattern of one source that no other pattern shares needs no search. Others are solved by successive shortest paths
-    from the patterns' copies to the sources with quota left; reverse edges let an earlier choice be taken back.
+    Successive shortest paths from the patterns' copies to the sources with quota left; reverse edges let an earlier choice
+    be taken back. Sources from which no path leads on are left out of later searches, as none ever will.
     """
     flow = {p: 0.0 for p in patterns}
     uses: dict[str, list[tuple[str, ...]]] = {}
@@ -57,12 +58,8 @@ def min_cost_flow(patterns: dict[tuple[str, ...], int], quotas: dict[str, float]
             uses.setdefault(s, []).append(p)
     sent: dict[tuple[tuple[str, ...], str], float] = {}
     left = dict(quotas)
-    shared = []
-    for p, size in patterns.items():
-        if len(p) == 1 and len(uses[p[0]]) == 1:
-            flow[p] = min(left[p[0]], most * size)
-        elif p and size:
-            shared.append(p)
+    shared = [p for p, size in patterns.items() if p and size]
+    dead: set[str] = set()
     tiny = 1e-9 * (1 + sum(quotas.values()))
     for copy in range(most):  # the cost of a path is that of its first edge less what it takes back, so copies go in turn
         cap = {p: float(patterns[p]) for p in shared}
@@ -78,7 +75,7 @@ def min_cost_flow(patterns: dict[tuple[str, ...], int], quotas: dict[str, float]
                 node = seek.popleft()
                 if isinstance(node, tuple):
                     for s in node:
-                        if s not in came:
+                        if s not in came and s not in dead:
                             came[s] = node
                             if left[s] > tiny:
                                 end = s
@@ -90,6 +87,7 @@ def min_cost_flow(patterns: dict[tuple[str, ...], int], quotas: dict[str, float]
                             came[p] = node
                             seek.append(p)
             if end is None:
+                dead.update(x for x in came if isinstance(x, str))
                 queue.popleft()
                 continue
             amount, node = min(cap[start], left[end]), end
@@ -152,7 +150,7 @@ def _filled(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         usable = rows.join(F.broadcast(state), "pattern").filter("u >= start" if first else "u >= start and size > 0 and size <= rem").select("pattern", "row", "u", "size")
         cut, zone = _threshold(usable, state)
-        new = materialise(zone.groupBy("pattern").applyInPandas(fill, "pattern array<string>, row long, size long"))
+        new = materialise(zone.groupBy("pattern").applyInPandas(fill, "pattern long, row long, size long"))
         ends = cut.select("pattern", F.col("lo").alias("end"))
         band = state.join(ends, "pattern", "left").select("pattern", F.struct("start", F.coalesce("end", F.lit(_RANGE)).alias("end"), (F.lit(float("inf")) if first else F.col("rem")).alias("most")).alias("band"))
         below = usable.join(F.broadcast(state.join(cut, "pattern", "left_anti")), "pattern").groupBy("pattern").agg(F.sum("size").alias("used"))
@@ -176,52 +174,92 @@ def _within() -> Column:
     return F.exists("bands", lambda b: (F.col("u") >= b["start"]) & (F.col("u") < b["end"]) & (F.col("size") <= b["most"]))
 
 
-def mix(docs: DataFrame, sources: str = "sources", size: str = "size", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, sources, size, source_size, target, copies, taken for each row of docs (doc_id, an array of sources, a size).
+def _key(sources: Column) -> Column:
+    """The membership pattern: sources by code point, null last, each once; marked, as a pattern holds no null."""
+    return F.array_sort(F.array_distinct(F.transform(F.coalesce(sources, F.array().cast("array<string>")), lambda s: F.coalesce(F.concat(F.lit("0"), s), F.lit("1")))))
 
-    Sources are taken by code point, null last, and weigh as ``weights`` repeats. A null size counts as 0; a row in no
-    source is never taken; rows that repeat an id count one by one. source_size and target are those of the row's first
-    source. The result is the same in every run with the same seed.
+
+def _decided(rows: DataFrame, weights: tuple[float, ...], share: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """(pattern, source_size, target, whole, rem, bands): what holds for all rows of a pattern; and (row): rows with one copy more.
+
+    ``rows`` have pattern (a number), names (its sources), row, u and size.
     """
-    key = F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col(sources), F.array()), lambda s: F.coalesce(F.concat(F.lit("0"), s), F.lit("1")))))
-    rows = docs.select("doc_id", F.col(sources).alias("sources"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), key.alias("pattern"))
-    rows = rows.withColumns({"u": F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_RANGE)), "row": F.monotonically_increasing_id()})
-    rows = materialise(rows)
-    groups = rows.groupBy("pattern").agg(F.sum("size").alias("size"))
-    found = groups.limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    patterns = {tuple(r["pattern"]): r["size"] for r in found}
+    groups = materialise(rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("names").alias("names")))
+    n, held = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("names", ""))), F.lit(0))).first()
+    if n > MOST_PATTERNS or held > MOST_BYTES:
+        raise ValueError(f"more than {MOST_PATTERNS} membership patterns, or more than {MOST_BYTES} bytes of names in them")
+    found = sorted(groups.collect(), key=lambda r: r["names"])  # in any other order another flow may be as good
+    patterns = {tuple(r["names"]): r["size"] for r in found}
     sizes: dict[str, int] = {}
-    for p, n in patterns.items():
+    for p, size in patterns.items():
         for s in p:
-            sizes[s] = sizes.get(s, 0) + n
+            sizes[s] = sizes.get(s, 0) + size
     asked = targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(sorted(sizes))}, share, most) if sizes else {}
     flow = min_cost_flow(patterns, asked, most)
     plan = []
-    for p, n in patterns.items():
-        whole = min(most, int(flow[p] / n + 1e-12)) if n else 0
-        plan.append((list(p), sizes.get(p[0], 0) if p else 0, asked.get(p[0], 0.0) if p else 0.0, whole, flow[p] - whole * n if whole < most else 0.0))
-    spark = docs.sparkSession
-    plan = materialise(spark.createDataFrame(plan, "pattern array<string>, source_size long, target double, whole int, rem double"))
+    for r in found:
+        p, size = tuple(r["names"]), r["size"]
+        whole = min(most, int(flow[p] / size + 1e-12)) if size else 0
+        plan.append((r["pattern"], sizes.get(p[0], 0) if p else 0, asked.get(p[0], 0.0) if p else 0.0, whole if p else 0, flow[p] - whole * size if whole < most and p else 0.0))
+    plan = materialise(rows.sparkSession.createDataFrame(plan, "pattern long, source_size long, target double, whole int, rem double"))
     bands, more = _filled(rows.select("pattern", "row", "u", "size"), plan)
-    out = rows.join(F.broadcast(plan), "pattern").join(F.broadcast(bands), "pattern", "left").join(more.withColumn("extra", F.lit(1)), "row", "left")
+    return materialise(plan.join(bands, "pattern", "left")), more
+
+
+def _copies(most: int) -> Column:
     reached = F.when(F.col("rem") <= 0, 0).when(_within(), 1).otherwise(F.coalesce("extra", F.lit(0)))
-    out = out.withColumn("copies", F.when(F.size("pattern") == 0, 0).otherwise(F.least(F.col("whole") + reached, F.lit(most))).cast("int"))
+    return F.least(F.col("whole") + reached, F.lit(most)).cast("int")
+
+
+def mix(docs: DataFrame, sources: str = "sources", size: str = "size", content: str | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
+    """doc_id, sources, size, source_size, target, copies, taken for each row of docs (doc_id, an array of sources, a size).
+
+    Sources are taken by code point, null last, and weigh as ``weights`` repeats. A null size counts as 0; a row in no
+    source is never taken; rows that repeat an id, or have none, count one by one, told apart by ``content`` (a hash of what
+    they hold, if there is a column of it); of equal rows any may be taken. source_size and target are those of the row's
+    first source. The result is the same in every run with the same seed. An empty table gives an empty result; extra
+    columns are ignored.
+    """
+    chosen = docs.select("doc_id", F.col(sources).alias("sources"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), (F.col(content) if content else F.lit(0)).alias("content"))
+    rows = materialise(_numbered(chosen.withColumn("names", _key(F.col("sources"))), seed))
+    plan, more = _decided(rows, weights, share, most)
+    out = rows.join(F.broadcast(plan), "pattern").join(more.withColumn("extra", F.lit(1)), "row", "left").withColumn("copies", _copies(most))
     return out.select("doc_id", "sources", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _numbered(rows: DataFrame, seed: int) -> DataFrame:
+    """Adds pattern, row and u: 40 bits from id and content, and 20 from the row, which part equal rows."""
+    row = F.monotonically_increasing_id()
+    whole = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "content", "size"), F.lit(1 << 40))
+    return rows.withColumn("row", row).withColumns({"pattern": F.xxhash64("names"), "u": F.shiftleft(whole, 20) + F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(1 << 20))})
+
+
+def _size(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
 def words(docs: DataFrame) -> DataFrame:
-    """doc_id, sources (one each) and size in words of documents; null texts have none."""
-    return docs.select("doc_id", F.array("source").alias("sources"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    """doc_id, sources (one each), size in words and a hash of the content of documents; null texts have no words."""
+    return docs.select("doc_id", F.array("source").alias("sources"), _size(F.col("text")).alias("size"), F.xxhash64("text").alias("content"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix(words(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(words(table(spark, sf_dir, "documents")), content="content").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the mix takes, with ``copies``; of rows with one id and size, the most copies hold for all."""
-    n = mix(words(docs)).groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    sized = docs.withColumn("_size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
-    return sized.join(n.select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), "copies"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_n"))).select(*docs.columns, "copies")
+def mixed(docs: DataFrame, memberships: tuple[str, ...] = ("source", "lang"), share: float = SHARE) -> DataFrame:
+    """The rows of docs that the mix takes, with ``copies``, the number of times.
+
+    A document belongs to a source for each column of ``memberships`` (with its value, null being one as well), so sources
+    overlap; each of the columns shares ``share`` / their number of all words. Rows without a word are never taken; rows
+    that repeat an id or a text are taken one by one; an empty table gives an empty result. The rows are written once with
+    their numbers and read again; no text is shuffled. Other columns, of any name, stay as they are; where one is named
+    ``copies`` the new one is ``copies_``.
+    """
+    sources = _key(F.array(*(F.coalesce(F.concat(F.lit(f"{c}="), named(c).cast("string")), F.lit(c)) for c in memberships)))
+    added = docs.select(F.struct(*(named(c).alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("given"), F.col("doc_id").alias("doc_id"), sources.alias("names"), _size(F.col("text")).alias("size"), F.xxhash64("text").alias("content"))
+    rows = materialise(_numbered(added, SEED))
+    plan, more = _decided(rows.drop("given"), WEIGHTS, share / len(memberships), MOST)
+    out = rows.join(F.broadcast(plan), "pattern").join(more.withColumn("extra", F.lit(1)), "row", "left").withColumn("copies", F.when(F.col("size") > 0, _copies(MOST)).otherwise(0)).filter("copies > 0")
+    name = "copies" if "copies" not in {c.lower() for c in docs.columns} else private(docs, "copies")[0]
+    return out.select(*(F.col(f"given.c{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("copies").alias(name))

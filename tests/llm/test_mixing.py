@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 from samples import AWKWARD, DATA, documents, text
 
 from lakequill.llm import mixing
@@ -104,13 +106,87 @@ def test_documents(spark):
     full = [x.asDict() | {"source": texts[x.doc_id][1]} for x in got]
     assert len(full) == len(rows) and all(x["size"] == len(re.findall("[^\x20\x09-\x0d]+", texts[x["doc_id"]][0] or "")) for x in full)
     check(full)
-    mixed = mixing.mixed(df)
-    assert {x.doc_id: x.copies for x in mixed.collect()} == {x.doc_id: x.copies for x in got if x.copies} and mixed.columns == [*df.columns, "copies"]
     assert {(r.size, r.taken) for r in mixing.mix(mixing.words(documents(spark, AWKWARD[9:10]))).collect()} == {(30000, 30000)}
     assert mixing.mix(mixing.words(df.limit(0))).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
     assert mixing.mix(mixing.words(documents(spark, [(1, None, "a"), (2, "", None)]))).filter("taken <> 0").count() == 0
 
 
+def counted(rows):
+    from collections import Counter
+
+    return Counter(map(repr, rows))
+
+
+def test_ids_that_are_null_or_repeat(spark):
+    """Rows of one id count one by one, in whatever order and however many they are, and equal rows too."""
+    r = random.Random(6)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, text(i % 200, r.choice([1, 7, 30])), r.choice("aab")) for i in range(1500)] + [(8, text(8, 9), "a")] * 700
+    df = documents(spark, rows)
+    get = lambda d: mixing.mix(mixing.words(d), content="content").selectExpr("doc_id", "sources[0] AS source", "size", "source_size", "target", "taken").collect()
+    got = get(df)
+    assert len(got) == len(rows)
+    check([x.asDict() for x in got])
+    assert counted(got) == counted(get(df.repartition(7)))
+
+
+def test_many_equal_rows_do_not_gather(spark, monkeypatch):
+    """The rows that one task fills from stay few, though all rows are equal."""
+    seen = []
+    monkeypatch.setattr(mixing, "ZONE_MOST", 500)
+    threshold = mixing._threshold
+    monkeypatch.setattr(mixing, "_threshold", lambda *a: seen.append(threshold(*a)) or seen[-1])
+    df = spark.range(20000).selectExpr("cast(null AS bigint) AS doc_id", "array(if(id % 4 = 0, 'a', 'b')) AS sources", "10L AS size")
+    got = mixing.mix(df).collect()
+    by = {s: sum(r.taken for r in got if r.sources[0] == s) for s in "ab"}
+    assert all(abs(by[r.sources[0]] - r.target) <= 10 for r in got) and all(zone.count() <= 1000 for _, zone in seen)
+
+
+def test_mixed_gives_the_rows_that_the_mix_takes(spark):
+    r = random.Random(7)
+    rows = [(r.choice([None, 3, i]), text(i % 300, r.choice([1, 9, 50])), r.choice(["a", "a", "b", None])) for i in range(900)] + [(8, text(8, 9), "a")] * 300 + [(d, t, "b") for d, t in AWKWARD]
+    df = documents(spark, rows).withColumn("lang", F.when(F.col("n_chars") % 3 == 0, "de").when(F.col("n_chars") % 3 == 1, "en"))
+    got = mixing.mixed(df)
+    assert got.columns == [*df.columns, "copies"]
+    sources = F.array(*(F.coalesce(F.concat(F.lit(f"{c}="), F.col(c)), F.lit(c)) for c in ("source", "lang")))
+    plain = df.select("doc_id", sources.alias("sources"), mixing._size(F.col("text")).alias("size"), F.xxhash64("text").alias("content"))
+    plan = [x for x in mixing.mix(plain, content="content", share=0.75).collect() if x.copies and x["size"]]
+    mine = got.select("doc_id", sources.alias("sources"), mixing._size(F.col("text")).alias("size"), "copies").collect()
+    assert counted(mine) == counted([Row(doc_id=x.doc_id, sources=x.sources, size=x["size"], copies=x.copies) for x in plan])
+    # each word counts for one of its sources; together they get what the flow to their quotas gives
+    patterns, sizes = {}, {}
+    for x in plain.collect():
+        p = tuple(sorted("0" + c for c in set(x.sources)))
+        patterns[p] = patterns.get(p, 0) + x["size"]
+    patterns = {p: patterns[p] for p in sorted(patterns)}
+    for p, n in patterns.items():
+        for c in p:
+            sizes[c] = sizes.get(c, 0) + n
+    asked = mixing.targets(sizes, {c: (3, 1, 2)[i % 3] for i, c in enumerate(sorted(sizes))}, 0.75)
+    flow = mixing.min_cost_flow(patterns, asked)
+    taken = {}
+    for x in plan:
+        p = tuple(sorted("0" + c for c in set(x.sources)))
+        taken[p] = taken.get(p, 0) + x["size"] * x.copies
+    assert all(abs(taken.get(p, 0) - f) <= max(60, 0.02 * f) for p, f in flow.items() if p != ("0lang=de", "0source=b"))  # that one holds a huge row
+    assert any(0 < f < patterns[p] for p, f in flow.items())
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c", 7), (1, "a b c", 8), (2, None, 9)]
+    for name in ("Copies", "given", "size", "x.y"):
+        df = spark.createDataFrame(rows, "doc_id long, text string, n long").withColumnRenamed("n", name).selectExpr("*", "'s' AS source", "'en' AS lang")
+        got = mixing.mixed(df)
+        assert got.columns == [*df.columns, "copies_" if name.lower() == "copies" else "copies"]
+        assert {tuple(r)[:3] for r in got.collect()} <= {x for x in rows if x[1]} and got.count()
+        assert mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_one_source_of_many_patterns_stays_quick():
+    patterns = {("all", f"s{i}"): 5 for i in range(20000)}
+    flow = mixing.min_cost_flow(patterns, {"all": 100.0} | {f"s{i}": 1.0 for i in range(20000)})
+    assert abs(sum(flow.values()) - 20100) < 1e-6
+
+
 def test_refined_thresholds(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKETS", 4)
     monkeypatch.setattr(mixing, "ZONE_MOST", 70)
@@ -119,7 +195,7 @@ def test_refined_thresholds(spark, monkeypatch):
 
 
 def test_rows_beyond_a_huge_one_fill_the_target(spark):
-    at = spark.range(10_000, 11_000).selectExpr("id", f"pmod(xxhash64({mixing.SEED}, id), {mixing._RANGE}) / {mixing._RANGE} AS u")
+    at = spark.range(10_000, 11_000).selectExpr("id", f"pmod(xxhash64({mixing.SEED}, id, 0, 100000L), {1 << 40}) / {1 << 40} AS u")
     huge = at.filter("u between 0.4 and 0.45").first().id  # it straddles the threshold
     df = spark.createDataFrame([(i, ["a"], 50) for i in range(3000)] + [(huge, ["a"], 100_000)], "doc_id long, sources array<string>, size long")
     got = mixing.mix(df).collect()
