@@ -2,7 +2,8 @@
 
 Texts and items are folded: letters by Unicode case folding, every run of other ASCII characters than letters and digits as
 one space, bytes beyond ASCII kept. An item of m folded bytes may occur with up to k = m // PER_ERROR edits (insertions,
-deletions, substitutions of bytes). It is cut into k + 1 pieces, one of which must then occur unchanged: an Aho-Corasick
+deletions, substitutions of bytes). The spaces around an item and a text belong to them, so a short item matches whole words
+only. An item is cut into k + 1 pieces, one of which must then occur unchanged: an Aho-Corasick
 automaton over all pieces finds such places in one pass over the text. A hit is checked upwards through pairs of pieces,
 fours, and so on, each of which must occur near the hit with fewer edits than it has pieces, and at last as the whole item,
 by Myers' bit-parallel distance. Nothing that the budget allows is lost on the way.
@@ -13,9 +14,12 @@ block. Any number of blocks gives whole results.
 
 from __future__ import annotations
 
+import bisect
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +75,7 @@ class Myers:
 
 class Item:
     def __init__(self, text: str, per_error: int):
-        self.text, self.m, self.k = text, len(text), len(text) // per_error
+        self.text, self.m, self.k = f" {text} ", len(text) + 2, len(text) // per_error
         n = self.k + 1
         self.cuts = [self.m * i // n for i in range(n + 1)]
         self.parts: dict[tuple[int, int], Myers] = {}
@@ -81,6 +85,12 @@ class Item:
             found = self.parts[lo, hi] = Myers(self.text[self.cuts[lo] : self.cuts[hi]])
         return found
 
+    def backwards(self) -> Myers:
+        """The item from its end, to find where a place begins."""
+        if (0, 0) not in self.parts:
+            self.parts[0, 0] = Myers(self.text[::-1])
+        return self.parts[0, 0]
+
     def occurs(self, text: str, piece: int, at: int) -> tuple[int, int] | None:
         """(distance, end) of the item around a piece that stands at ``at``, or None."""
         n, width = self.k + 1, 1
@@ -119,12 +129,8 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not places
 
-    def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start, end) of every item in the text, at its best place; offsets in folded bytes."""
-        if self.empty:
-            return []
-        t = folded(text)
-        best: dict[int, tuple[int, int]] = {}
+    def _hits(self, t: str) -> Iterator[tuple[int, int, int]]:
+        """(item, distance, end) around the pieces that occur in a folded text with a space on each side."""
         done: set[tuple[int, int]] = set()  # items and diagonals that were found: their other pieces give the same place
         for last, (size, where) in self.automaton.iter(t):
             for i, j in where:
@@ -134,44 +140,74 @@ class Matcher:
                 found = item.occurs(t, j, at)
                 if found is not None:
                     done.add((i, at - item.cuts[j]))
-                    if i not in best or found[0] < best[i][0]:
-                        best[i] = found
-        out = []
-        for i, (distance, end) in best.items():
+                    yield i, *found
+
+    def occurs(self, text: bytes) -> bool:
+        """Whether any item is in the text."""
+        return not self.empty and next(self._hits(f" {folded(text)} "), None) is not None
+
+    def search(self, text: bytes) -> list[tuple[int, int, int, int]]:
+        """(item_id, distance, start, end) of every place of every item in the text; offsets in folded bytes.
+
+        Of places whose ends are nearer than half the item, the one with the least distance counts, then the first.
+        """
+        if self.empty:
+            return []
+        t, ends, out = f" {folded(text)} ", {}, []
+        for i, distance, end in self._hits(t):
+            ends.setdefault(i, set()).add((distance, end))
+        for i, found in ends.items():
             item, ids = self.items[i]
-            back = t[max(0, end - item.m - item.k) : end][::-1]
-            length = Myers(item.text[::-1]).best(back, distance, True)[1]
-            out += [(item_id, distance, end - length, end) for item_id in ids]
+            taken: list[int] = []
+            for distance, end in sorted(found):
+                at = bisect.bisect(taken, end)
+                if any(abs(end - x) <= item.m // 2 for x in taken[max(0, at - 1) : at + 1]):
+                    continue
+                taken.insert(at, end)
+                back = t[max(0, end - item.m - item.k) : end][::-1]
+                length = item.backwards().best(back, distance, True)[1]
+                out += [(item_id, distance, max(0, end - length - 1), min(len(t) - 2, end - 1)) for item_id in ids]
         return out
 
 
-def code_points(text: bytes, start: int, end: int) -> tuple[int, int]:
-    """Offsets in folded bytes as code points of the text: from the first to the last byte that is not a separator."""
+def code_points(text: bytes) -> np.ndarray:
+    """For each folded byte of a text the code point of the text that it stands for."""
     cased = _cased(text)
-    kept, at, first, last = linear.folded(cased), 0, None, 0
-    n, i = 0, 0
-    while i < len(kept):
-        if kept[i] == 32:
-            i += 1
-            continue
-        stop = kept.find(b" ", i)
-        stop = len(kept) if stop < 0 else stop
-        if n:
-            at += 1
-        lo, hi = max(start, at), min(end, at + stop - i)
-        if lo < hi:
-            first = i + lo - at if first is None else first
-            last = i + hi - at
-        at += stop - i
-        n, i = n + 1, stop
-    if first is None:
-        return 0, 0
-    size = lambda b: sum(x & 0xC0 != 0x80 for x in b)
-    first, last = size(cased[:first]), size(cased[:last])
-    if size(cased) != size(text):  # some characters fold to several
-        of = [i for i, c in enumerate(text.decode("utf-8", "surrogateescape")) for _ in c.casefold()]
-        first, last = of[first] if first < len(of) else size(text), of[last - 1] + 1
-    return first, last
+    kept = np.frombuffer(linear.folded(cased), np.uint8) != 32
+    stays = kept.copy()
+    stays[1:] |= kept[:-1]  # the first separator of each run
+    at = np.flatnonzero(stays)
+    at = at[np.argmax(kept[at]) :] if len(at) else at
+    at = at[:-1] if len(at) and not kept[at[-1]] else at
+    point = np.cumsum((np.frombuffer(cased, np.uint8) & 0xC0) != 0x80) - 1
+    if len(cased) != len(text) or cased != text:
+        plain = text.decode("utf-8", "surrogateescape")
+        sizes = [len(c.casefold()) for c in plain] if not text.isascii() else []
+        if sum(sizes) != len(plain) and sizes:  # some characters fold to several
+            point = np.repeat(np.arange(len(plain)), sizes)[point]
+    return point[at]
+
+
+def _placed(found: list[tuple[int, int, int, int]], text: bytes) -> Iterator[tuple[int, int, int, int]]:
+    """The matches with offsets in code points, without separators at their ends."""
+    t, points = folded(text), code_points(text)
+    for item_id, distance, start, end in found:
+        while start < end and t[start] == " ":
+            start += 1
+        while end > start and t[end - 1] == " ":
+            end -= 1
+        yield item_id, distance, *((int(points[start]), int(points[end - 1]) + 1) if start < end else (0, 0))
+
+
+_built: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, items: list[tuple[int, bytes]], per_error: int) -> Matcher:
+    """The matcher of a block; a worker keeps the last one that it built for its next tasks."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Matcher(items, per_error)
+    return _built[key]
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -186,47 +222,52 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, bytes]]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, distance, start, end: each benchmark item in each document, at its best place (code points, end exclusive).
+    """doc_id, item_id, distance, start, end: every place of each benchmark item in each document (code points, end exclusive).
 
-    Null and empty texts and items without any letter or digit match nothing; items with equal folded text all match;
-    rows that repeat a doc_id give their matches one by one; extra columns are ignored.
+    Of places that overlap by half or more the best counts, of ties the first. Null and empty texts and items without any
+    letter or digit match nothing; items with equal folded text all match; rows that repeat a doc_id give their matches one
+    by one; texts of any length are searched whole; extra columns are ignored; an empty table gives an empty result.
     """
     sc, given, out = docs.sparkSession.sparkContext, with_utf8(docs.select("doc_id", "text").filter("text is not null")), None
 
-    def search(shared):
+    def search(shared, key: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, per_error)
+            matcher = _matcher(key, shared.value, per_error)
             for batch in small(batches):
                 rows = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    for item_id, distance, start, end in matcher.search(text):
-                        rows.append((doc_id, item_id, distance, *code_points(text, start, end)))
+                    if found := matcher.search(text):
+                        rows += [(doc_id, *x) for x in _placed(found, text)]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "item_id", "distance", "start", "end"])
 
         return run
 
     for block in _blocks(benchmark, block_bytes):
-        found = given.mapInArrow(search(sc.broadcast(block)), RESULT)
+        found = given.mapInArrow(search(sc.broadcast(block), uuid.uuid4().hex), RESULT)
         out = found if out is None else out.unionAll(found)
     return out
 
 
-def kept(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no benchmark item occurs. The documents are filtered where they are read."""
+def kept(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs in which no benchmark item occurs. The documents are filtered where they are read.
+
+    Null and empty texts stay; rows that repeat an id are judged by their own text; without an item every row stays; an empty
+    table gives an empty result. All columns, of any name, stay as they are.
+    """
     sc, out = docs.sparkSession.sparkContext, docs
 
-    def clean(shared):
+    def clean(shared, key: str):
         @F.arrow_udf("boolean")
         def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            matcher = Matcher(shared.value)
+            matcher = _matcher(key, shared.value, per_error)
             for batch in texts:
-                yield pa.array([not matcher.search(t) for part in small([batch]) for t in part.to_pylist()], pa.bool_())
+                yield pa.array([not matcher.occurs(t) for part in small([batch]) for t in part.to_pylist()], pa.bool_())
 
         return passes(F.coalesce("text", F.lit("")).cast("binary"))
 
-    for block in _blocks(benchmark, BLOCK_BYTES):
-        out = out.filter(clean(sc.broadcast(block)))
+    for block in _blocks(benchmark, block_bytes):
+        out = out.filter(clean(sc.broadcast(block), uuid.uuid4().hex))
     return out
 
 
