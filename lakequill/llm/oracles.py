@@ -17,19 +17,26 @@ FROM p JOIN h USING (hex)
 #: Lines, runs of lines of one level, normalised units, the last earlier message with the same unit, votes, and the tree by recursion.
 QUOTES = r"""
 WITH RECURSIVE m AS (
-  SELECT row_number() OVER () AS row, conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text FROM conversations
+  SELECT row_number() OVER () AS row, conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text,
+    md5(concat_ws(' ', coalesce(CAST(conv_id AS VARCHAR), '-'), coalesce(CAST(turn AS VARCHAR), '-'), coalesce(hex(role), '-'), coalesce(text, ''))) AS key FROM conversations
 ), split AS (
   SELECT row, conv_id, turn, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM m
 ), l AS (
   SELECT row, conv_id, turn, place, length(regexp_replace(regexp_extract(raw, '^[ \t]*>[> \t]*'), '[^>]', '', 'g')) AS level,
     substr(raw, length(regexp_extract(raw, '^[ \t]*>[> \t]*')) + 1) AS line FROM split
 ), marked AS (
-  SELECT *, CASE WHEN level <> lag(level) OVER w OR level = 0 AND (trim(line, ' ') = '') <> (lag(trim(line, ' ') = '') OVER w) THEN 1 ELSE 0 END AS new
+  SELECT *, CASE WHEN level <> lag(level) OVER w THEN 1 ELSE 0 END AS new_run,
+    CASE WHEN level <> lag(level) OVER w OR (trim(line, ' ') = '') <> (lag(trim(line, ' ') = '') OVER w) THEN 1 ELSE 0 END AS new_part
   FROM l WINDOW w AS (PARTITION BY row ORDER BY place)
 ), runs AS (
-  SELECT *, sum(new) OVER (PARTITION BY row ORDER BY place ROWS UNBOUNDED PRECEDING) AS passage FROM marked
+  SELECT *, sum(new_run) OVER w AS passage, sum(new_part) OVER w AS part FROM marked
+  WINDOW w AS (PARTITION BY row ORDER BY place ROWS UNBOUNDED PRECEDING)
+), parts AS (
+  SELECT row, conv_id, turn, level, passage, part, string_agg(line, ' ' ORDER BY place) AS line FROM runs GROUP BY ALL HAVING bool_or(trim(line, ' ') <> '')
 ), texts AS (
-  SELECT row, conv_id, turn, level, passage, string_agg(line, ' ' ORDER BY place) AS line FROM runs GROUP BY ALL
+  SELECT row, conv_id, turn, level, passage, line FROM parts
+  WHERE level = 0 OR (row, passage) IN (SELECT (row, passage) FROM parts GROUP BY row, passage HAVING count(*) > 1)
+  UNION ALL SELECT row, conv_id, turn, level, passage, string_agg(line, ' ' ORDER BY place) FROM runs WHERE level > 0 GROUP BY ALL
   UNION ALL SELECT row, conv_id, turn, level, passage, line FROM runs
   UNION ALL SELECT row, conv_id, turn, level, -1, string_agg(line, ' ' ORDER BY place) FROM runs WHERE level = 0 GROUP BY row, conv_id, turn, level
 ), units AS (
@@ -57,11 +64,11 @@ WITH RECURSIVE m AS (
   SELECT l.row, string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE c.row IS NULL OR NOT regexp_matches(lower(trim(l.line, ' ')), '^(?:(?:on|le|am|el)\b.{1,200}\b(?:wrote|a écrit|schrieb|escribió) ?:|-{2,} ?original message ?-{2,})$')) AS own
   FROM l LEFT JOIN counts c ON c.row = l.row WHERE l.level = 0 GROUP BY l.row
 ), done AS (
-  SELECT m.row, m.conv_id, m.turn, m.role, trim(regexp_replace(coalesce(s.own, ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(9) || chr(10)) AS text, b.parent AS parent_turn,
+  SELECT m.row, m.key, m.conv_id, m.turn, m.role, trim(regexp_replace(coalesce(s.own, ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(32) || chr(9) || chr(10)) AS text, b.parent AS parent_turn,
     coalesce(t.root, m.turn) AS root_turn, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth, CAST(coalesce(c.n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(c.n_linked, 0) AS BIGINT) AS n_linked
   FROM m LEFT JOIN said s ON s.row = m.row LEFT JOIN best b ON b.row = m.row LEFT JOIN counts c ON c.row = m.row
   LEFT JOIN trees t ON t.conv_id = m.conv_id AND t.turn = m.turn
 )
 SELECT conv_id, turn, role, text, parent_turn, root_turn, depth, n_quoted, n_linked,
-  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY root_turn, depth, turn, role, text) AS BIGINT) AS position FROM done
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY root_turn NULLS FIRST, depth, turn NULLS FIRST, key) AS BIGINT) AS position FROM done
 """

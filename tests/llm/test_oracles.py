@@ -1,16 +1,11 @@
 """Registered queries with SQL against DuckDB."""
 
-import sys
-from pathlib import Path
-
 import pytest
+from compare import connection, same
 from samples import DATA
 
 from lakequill.llm import queries
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-from compare import connection, same  # noqa: E402
-
 
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query(spark, name):
@@ -21,13 +16,14 @@ def test_quotes_on_threads(spark):
     """The registered table may hold no quotation; these rows do."""
     import duckdb
     import pandas as pd
-    from test_quotes import COLUMNS, ROWS
+    from test_quotes import COLUMNS, ROWS, threads
 
     from lakequill.llm import oracles, quotes
 
-    con, conversations = duckdb.connect(), pd.DataFrame(ROWS, columns=["conv_id", "turn", "role", "text"])
+    rows = ROWS + threads(300, 8, 8)[0]
+    con, conversations = duckdb.connect(), pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
     con.register("conversations", conversations)
-    same(quotes.linked_conversations(spark.createDataFrame(ROWS, COLUMNS)), con, oracles.QUOTES)
+    same(quotes.linked_conversations(spark.createDataFrame(rows, COLUMNS)), con, oracles.QUOTES)
 
 
 def test_archives_with_revisits(spark, tmp_path):

@@ -1,6 +1,9 @@
+import bisect
+import random
 import re
+import textwrap
 
-from samples import DATA
+from samples import DATA, text
 
 from lakequill.llm import quotes
 
@@ -20,34 +23,40 @@ def brute(rows):
             out.append(((m[0].count(">") if m else 0), line[len(m[0]) :] if m else line))
         return out
 
-    def runs(lines):
+    def runs(lines, parts=False):
         out = []
         for level, line in lines:
             blank = line.strip(" ") == ""
-            if out and out[-1][0] == level and (level or out[-1][2] == blank):
+            if out and out[-1][0] == level and (not parts or out[-1][2] == blank):
                 out[-1][1].append(line)
             else:
                 out.append((level, [line], blank))
         return out
 
+    def paragraphs(lines):
+        return [norm(" ".join(ls)) for _, ls, blank in runs(lines, True) if not blank]
+
     units = {}
     for c, t, _, x in rows:
         lines = split(x)
-        own = {norm(" ".join(ls)) for lv, ls, _ in runs(lines) if lv == 0} | {norm(line) for lv, line in lines if lv == 0} | {norm(" ".join(line for lv, line in lines if lv == 0))}
-        units[c, t] = own - {""}
+        own = {p for lv, ls, _ in runs(lines) if lv == 0 for p in paragraphs([(0, x) for x in ls])} | {norm(line) for lv, line in lines if lv == 0} | {norm(" ".join(line for lv, line in lines if lv == 0))}
+        for u in own - {""}:
+            units.setdefault((c, u), []).append(t)
+    units = {k: sorted(v) for k, v in units.items()}
     parent, counts = {}, {}
     for c, t, _, x in rows:
         votes, passages = {}, []
         for lv, ls, _ in runs(split(x)):
             if lv == 0:
                 continue
-            mine = [u for u in [norm(" ".join(ls)), *map(norm, ls)] if u]
+            several = paragraphs([(lv, x) for x in ls])
+            mine = [u for u in [norm(" ".join(ls)), *(several if len(several) > 1 else []), *map(norm, ls)] if u]
             linked = False
             for u in mine:
-                found = [o for (cc, o) in units if cc == c and o < t and u in units[cc, o]]
-                if found:
+                said = units.get((c, u), [])
+                if i := bisect.bisect_left(said, t):
                     linked = True
-                    votes[-lv, max(found)] = votes.get((-lv, max(found)), 0) + len(u)
+                    votes[-lv, said[i - 1]] = votes.get((-lv, said[i - 1]), 0) + len(u)
             if mine:
                 passages.append(linked)
         counts[c, t] = (len(passages), sum(passages))
@@ -109,6 +118,54 @@ def test_long_chain_and_hot_line(spark, monkeypatch):
     assert got == brute(rows) and got[1, 69][2] == 69
 
 
+def threads(n, seed, conv):
+    """(rows, true parents): messages that quote what they answer, level by level, cut, in other cases and with other line ends."""
+    r, rows, parents, shown = random.Random(seed), [], {}, {}
+    for t in range(n):
+        own = "\n\n".join(text(f"{seed}/{t}/{k}", r.randrange(4, 30)) for k in range(r.randrange(1, 4)))
+        if t and r.random() < 0.9:
+            up = r.randrange(max(0, t - 40), t)
+            kept = shown[up] if r.random() < 0.5 else shown[up].split("\n\n")[-1]
+            width = r.choice([30, 60, 1000])
+            lines = [w for line in kept.split("\n") for w in ([line] if line.startswith(">") or not line else textwrap.wrap(line.upper() if r.random() < 0.3 else line, width))]
+            own, parents[conv, t] = "\n".join(["On Monday, X wrote:", *(">" + ("" if x.startswith(">") else " ") + x for x in lines)]) + "\n\n" + own, up
+        shown[t] = own if len(own) < 4000 else own[own.rindex("\n\n") + 2 :]
+        rows.append((conv, t, "u", own.replace("\n", r.choice(["\n", "\r\n"]))))
+    return rows, parents
+
+
+def test_generated_threads(spark, monkeypatch):
+    """Thousands of messages with nested quotations against brute force and against whom they answer."""
+    monkeypatch.setattr(quotes, "BLOCK", 256)
+    made = [threads(1500, 1, 1), threads(900, 2, 2), threads(60, 3, 3)]
+    rows, parents = sum((x for x, _ in made), []), {k: v for _, p in made for k, v in p.items()}
+    got = quotes.linked_conversations(spark.createDataFrame(rows, COLUMNS)).collect()
+    found = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth, r.n_quoted, r.n_linked) for r in got}
+    assert found == brute(rows)
+    right = sum(found[k][0] == v for k, v in parents.items())
+    assert right >= 0.99 * len(parents) and sum(f[3] for f in found.values()) > len(parents), (right, len(parents))
+    for c in (1, 2, 3):
+        mine = sorted((r for r in got if r.conv_id == c), key=lambda r: (r.root_turn, r.depth, r.turn))
+        assert [r.position for r in mine] == list(range(1, len(mine) + 1))
+    assert all(">" not in r.text and "wrote" not in r.text for r in got)
+
+
+def test_paragraphs_of_a_rewrapped_quotation_link(spark):
+    rows = [(1, 0, "a", "first words here, they go on\nover lines\n\nsecond part, also\nlong\n\nthird"), (1, 1, "b", "> first words here,\n> they go on over lines\n>\n> second part, also long\nyes")]
+    got = {r.turn: r for r in quotes.linked_conversations(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got[1].parent_turn == 0 and (got[1].n_quoted, got[1].n_linked) == (1, 1) and got[1].text == "yes"
+
+
+def test_one_tree_and_rows_without_keys_are_numbered_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "BLOCK", 50)
+    rows = [(1, 0, "u", "root words")] + [(1, i, "u", f"> root words\nanswer {i}") for i in range(1, 700)] + [(None, None if i % 2 else i, "u", f"x {i % 90}") for i in range(600)] + [(2, 5, "u", "same")] * 200
+    got = quotes.linked_conversations(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert len(got) == len(rows)
+    for c, n in ((1, 700), (None, 600), (2, 200)):
+        assert sorted(r.position for r in got if r.conv_id == c) == list(range(1, n + 1))
+    assert all(r.position == r.turn + 1 for r in got if r.conv_id == 1) and max(r.position for r in got if r.conv_id is None and r.turn is None) == 300
+
+
 def test_no_python_in_the_plan(spark):
     plan = quotes.linked_conversations(spark.createDataFrame(ROWS, COLUMNS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
