@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 _own: str | None = None
+_TABLES: dict[int, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; unset (in tests), a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Unset, a temporary one, if there is one machine only."""
     global _own
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = _own = _own or "file://" + tempfile.mkdtemp(prefix="lakequill-")
     return found if "://" in found else f"file://{found}"
 
@@ -58,7 +62,17 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or f"{scratch(spark)}/t"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[id(out)] = path
+    weakref.finalize(out, _TABLES.pop, id(out), None)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote and that nothing reads any more."""
+    for t in tables:
+        if (path := _TABLES.pop(id(t), None)) is not None:
+            remove(t.sparkSession, path)
 
 
 def private(df: DataFrame, *names: str) -> list[str]:

@@ -12,6 +12,7 @@ at most m = n - ceil(t n) of its shingles in a partner, so two linked sets share
 
 Candidates pass a size filter and a bitmap filter (parities of shingle hashes: the Hamming distance of two bitmaps never
 exceeds the size of the symmetric difference), both exact, before texts are fetched and compared by all of their shingles.
+Shingles are compared by 64-bit hashes of their words, there as well.
 
 Pairs are not expanded within a group. Equal sets form a class, of which one member is indexed. Every entry of a key is
 first compared with the key's leader, the entry with the fewest rare shingles; keys of frequent combinations are salted,
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, small, table, tasks, with_utf8
+from .common import materialise, mix, named, small, table, tasks, with_utf8
 from .components import components
 from .words import word_hashes
 
@@ -313,9 +314,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def kept(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay: of each component the smallest doc_id, and every document outside components."""
-    comps = join(docs, percent)[1]
-    return docs.join(comps.filter("id <> comp").select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that stay: of each group of linked rows that with the smallest doc_id, and every row outside groups.
+
+    Rows count one by one, whatever their ids: those that repeat an id or have none are linked by their texts, a null id is
+    the largest, and of rows with one id any of equal texts may stay. Null and empty texts link with nothing, so their rows
+    stay. Texts of any length are read whole; an empty table gives an empty result. Columns of any name stay as they are.
+    """
+    whole = F.struct(*(named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    rows = materialise(docs.select(whole.alias("given"), "doc_id").withColumn("row", F.monotonically_increasing_id()))
+    text = F.col(f"given.c{docs.columns.index('text')}")
+    comps = join(rows.select(F.col("row").alias("doc_id"), text.alias("text")), percent)[1]
+    members = comps.join(rows.select(F.col("row").alias("id"), "doc_id"), "id")
+    stays = members.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("x")).select("comp", F.col("x.id").alias("first"))
+    goes = materialise(comps.join(stays, "comp").filter("id <> first").select(F.col("id").alias("row")))
+    return rows.join(goes, "row", "left_anti").select(*(F.col(f"given.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from .common import mix, small, with_utf8
 
 #: At most about this many labelled rows are learned from, half of them of each class: shares by a hash of the id, alike in every run.
 MAX_TRAINING_ROWS = 16_000
+#: and at most about so many bytes of text, half of each class, which bounds the memory of the one task that learns.
+MAX_TRAINING_BYTES = 128 << 20
 
 _P = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 3) * (2 * j + 5) % (1 << 64) | 1) for j in range(8)]
 #: ASCII letters in lower case and digits stay, other ASCII characters part words; bytes beyond ASCII stay.
@@ -25,17 +27,25 @@ def fold(doc_id: str, modulus: int, held_out: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == held_out, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int = MAX_TRAINING_ROWS) -> tuple[DataFrame, float]:
-    """(doc_id, text, y) of the sample, and what to add to the log-odds of its model.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int = MAX_TRAINING_ROWS, most_bytes: int = MAX_TRAINING_BYTES) -> tuple[DataFrame, float]:
+    """(doc_id, y, text) of the sample, and what to add to the log-odds of its model.
 
-    Rows without a label or an id, and all held-out rows, are out; of a repeated id the largest label counts. Each class has
-    about ``most`` / 2 rows at most; the shift of the log-odds takes back that the classes were sampled at different rates.
+    Rows without a label or an id, and all held-out rows, are out; of a repeated id the largest label counts, and the least
+    text. Each class has about ``most`` / 2 rows and ``most_bytes`` / 2 bytes at most; the shift of the log-odds takes back
+    that the classes were sampled at different rates.
     """
     rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~fold("doc_id", modulus, held_out)).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     rates = {r["y"]: min(1.0, most / 2 / r["n"]) for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    picked = rows.filter(at < F.when(F.col("y") == 1, int(rates.get(1, 1) * (1 << 30))).otherwise(int(rates.get(0, 1) * (1 << 30))))
-    return with_utf8(docs.select("doc_id", "text")).join(F.broadcast(picked), "doc_id"), math.log(rates.get(0, 1.0) / rates.get(1, 1.0))
+
+    def below(rates: dict[int, float]) -> DataFrame:
+        return rows.filter(at < F.when(F.col("y") == 1, int(rates.get(1, 1) * (1 << 30))).otherwise(int(rates.get(0, 1) * (1 << 30))))
+
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(below(rates)), "doc_id").groupBy("doc_id", "y").agg(F.max("size").alias("size"))
+    for r in sizes.groupBy("y").agg(F.sum("size").alias("size")).collect():
+        rates[r["y"]] *= min(1.0, most_bytes / 2 / max(1, r["size"] or 0))
+    sample = with_utf8(docs.select("doc_id", "text")).join(F.broadcast(below(rates)), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return sample, math.log(rates.get(0, 1.0) / rates.get(1, 1.0))
 
 
 def trained(rows: DataFrame, features: Callable[[bytes], np.ndarray], fit: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,17 +72,17 @@ def trained(rows: DataFrame, features: Callable[[bytes], np.ndarray], fit: Calla
 
 def scored(docs: DataFrame, held: Column, threshold: float, features: Callable[[bytes], np.ndarray], size: int, weights: tuple[np.ndarray, np.ndarray, np.ndarray], probability: Callable[[float, float], float]) -> DataFrame:
     """doc_id, held_out, score, predicted. Weights and norm shares that are kept are broadcast; there are at most ``size`` of each."""
-    shared = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1].astype(np.float32), weights[2].astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1], weights[2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, norm = np.zeros((2, size), np.float32)
+        weight, norm = np.zeros((2, size))
         at, w, v = shared.value
         weight[at], norm[at] = w, v
         for b in small(batches):
             scores = []
             for text in b.column("text").to_pylist():
                 x = features(text)
-                scores.append(probability(float(weight[x].sum(dtype=np.float64)), float(norm[x].sum(dtype=np.float64))))
+                scores.append(probability(float(weight[x].sum()), float(norm[x].sum())))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     given = with_utf8(docs.select("doc_id", "text")).select("doc_id", held.alias("held_out"), "text")

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, named, private, table
+from .common import materialise, named, private, release, table
 
 # Fixed patterns: kind, cheap test that a text may hold it, pattern.
 BASE = (
@@ -155,7 +155,8 @@ def _values(docs: DataFrame, found: DataFrame) -> DataFrame | None:
         scored = edges.withColumn("w", weight) if values is None else edges.join(values, "value", "left").withColumn("w", F.greatest(weight, F.coalesce("score", F.lit(0.0)))).drop("score")
         patterns = scored.groupBy("pattern").agg(F.least(F.lit(1.0), F.sum(F.col("n") * F.col("w")) / F.max("total")).alias("score"), F.sum((F.col("w") > 0).cast("int")).alias("support"))
         high = patterns.filter((F.col("support") >= SUPPORT) & (F.col("score") >= SCORE)).select("pattern", "score")
-        values = materialise(edges.filter("open").join(high, "pattern").groupBy("value").agg(F.max("score").alias("score")))
+        old, values = values, materialise(edges.filter("open").join(high, "pattern").groupBy("value").agg(F.max("score").alias("score")))
+        release(*([old] if old is not None else []))
         # weights only grow, so values are only added: no more of them means that nothing changes
         if (n := values.count()) == known:
             return values

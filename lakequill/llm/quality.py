@@ -42,37 +42,48 @@ def features(text: bytes) -> np.ndarray:
     return indices([grams(b, (0, 1, 2), 1), grams(w, (0,), 2), grams(shape, (0,), 3), grams(shape, (0, 1), 4), grams(shape, (0, 1, 2), 5), mix(np.array([share], np.uint64) + np.uint64(1 << 40))], BITS)
 
 
-def nb_svm(xs: list[np.ndarray], ys: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Features with their scaled weights and squared ratios; under the last two numbers the curve's slope and offset."""
-    fit = np.arange(len(xs)) % 5 != 4
+def log_ratios(xs: list[np.ndarray], ys: np.ndarray) -> np.ndarray:
+    """For each feature the log ratio of its smoothed shares in the two classes; 0 for those of a single row, which says nothing about others."""
     counts = np.zeros((2, 1 << BITS))
-    for x, y, use in zip(xs, ys, fit, strict=True):
-        if use:
-            counts[y, x] += 1
-    seen = counts.sum(0) > 1  # an n-gram of a single row says nothing about others
-    share = (counts + SMOOTH) / (np.array([(ys[fit] == c).sum() for c in (0, 1)])[:, None] + 2 * SMOOTH)
-    ratio = np.where(seen, np.log(share[1] / share[0]), 0.0)
-    rows = []
-    for x in xs:
-        x = x[seen[x]]
-        rows.append((x, ratio[x] / max(1e-9, float(np.linalg.norm(ratio[x])))))
-    w, bias = np.zeros(1 << BITS), 0.0
-    some = [max(1, int((ys[fit] == c).sum())) for c in (0, 1)]
-    cost = [COST * sum(some) / (2 * some[c]) * 10 for c in (0, 1)]
-    alpha, order = np.zeros(len(xs)), np.flatnonzero(fit)
+    for x, y in zip(xs, ys, strict=True):
+        counts[y, x] += 1
+    share = (counts + SMOOTH) / (np.array([(ys == c).sum() for c in (0, 1)])[:, None] + 2 * SMOOTH)
+    return np.where(counts.sum(0) > 1, np.log(share[1] / share[0]), 0.0)
+
+
+def descended(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, cost: np.ndarray, size: int, epochs: int = EPOCHS) -> tuple[np.ndarray, float, np.ndarray]:
+    """(weights, bias, dual variables) of the linear hinge-loss model by dual coordinate descent.
+
+    ``rows`` are (indices, values) of length 1; the bias is one more coordinate, so each row's square is 2.
+    """
+    w, bias, alpha, order = np.zeros(size), 0.0, np.zeros(len(rows)), np.arange(len(rows))
     rng = np.random.default_rng(0)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         rng.shuffle(order)
         for i in order:
             x, v = rows[i]
-            sign = 2 * int(ys[i]) - 1
-            gradient = sign * (float(w[x] @ v) + bias) - 1
-            new = min(max(alpha[i] - gradient / 2.0, 0.0), cost[ys[i]])  # rows have length 1, and the bias is one more coordinate
+            gradient = signs[i] * (float(w[x] @ v) + bias) - 1
+            new = min(max(alpha[i] - gradient / 2.0, 0.0), cost[i])
             if new != alpha[i]:
-                step = (new - alpha[i]) * sign
+                step = (new - alpha[i]) * signs[i]
                 w[x] += step * v
                 bias += step
                 alpha[i] = new
+    return w, bias, alpha
+
+
+def nb_svm(xs: list[np.ndarray], ys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Features with their scaled weights and squared ratios; under the last two numbers the curve's slope and offset."""
+    fit = np.arange(len(xs)) % 5 != 4
+    ratio = log_ratios([x for x, use in zip(xs, fit, strict=True) if use], ys[fit])
+    rows = []
+    for x in xs:
+        x = x[ratio[x] != 0]
+        rows.append((x, ratio[x] / max(1e-9, float(np.linalg.norm(ratio[x])))))
+    some = [max(1, int((ys[fit] == c).sum())) for c in (0, 1)]
+    cost = np.array([COST * sum(some) / (2 * some[c]) * 10 for c in (0, 1)])
+    at = np.flatnonzero(fit)
+    w, bias, _ = descended([rows[i] for i in at], 2 * ys[at] - 1, cost[ys[at]], 1 << BITS)
     margins = np.array([float(w[x] @ v) + bias for x, v in rows])
     a, b = _logistic(margins[~fit], ys[~fit])
     at = np.flatnonzero(ratio)
@@ -103,8 +114,9 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; learned from the labels outside the held-out fold.
 
-    Null texts count as empty and get the curve's offset; without any label every score is 0.5; rows that repeat an id are
-    scored one by one; columns other than doc_id and text are ignored.
+    Null and empty texts get the curve's offset; texts of any length are scored whole; without any label every score is 0.5;
+    rows that repeat an id are scored one by one; a score equal to the threshold is predicted 1; an empty table gives an empty
+    result; columns other than doc_id and text are ignored.
     """
     rows, shift = training_rows(docs, labels, "quality", 4, 2)
     at, w, v = trained(rows, features, nb_svm)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, jaccard, mixing, oracles, pii, quality, quotes, syncmers, toxicity, warc
+from . import decontaminate, html_text, jaccard, mixing, oracles, pii, pipeline, quality, quotes, syncmers, toxicity, warc
 
 
 def queries():
-    import corpus_pipeline
-
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_quotation_linking": quotes.query,
         "op2_tag_path_ratios": html_text.query,
         "op3_pigeonhole_decontamination": decontaminate.query,

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table, tasks
+from .common import materialise, release, table, tasks
 
 QUOTE = r"^[ \t]*+>[> \t]*+"
 # Fixed patterns of lines that introduce a quotation.
@@ -104,11 +104,12 @@ def linked(every: DataFrame) -> DataFrame:
 
 def _trees(parents: DataFrame) -> DataFrame:
     """(conv_id, turn, root, depth) of every turn with a parent, by doubling: each round follows twice as far."""
-    at = materialise(parents.select("conv_id", "turn", F.col("parent").alias("up"), F.lit(1).alias("depth")))
+    old = at = materialise(parents.select("conv_id", "turn", F.col("parent").alias("up"), F.lit(1).alias("depth")))
     while True:
         beyond = at.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
         step = materialise(at.join(beyond, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("up2").isNotNull().alias("moved")))
-        at = step.select("conv_id", "turn", "up", "depth")
+        release(old)
+        old, at = step, step.select("conv_id", "turn", "up", "depth")
         if step.filter("moved").isEmpty():
             return at.select("conv_id", "turn", F.col("up").alias("root"), "depth")
 

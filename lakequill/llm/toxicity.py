@@ -60,16 +60,24 @@ def _learned(docs: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, ...]
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; learned from the labels outside the held-out fold.
 
-    Null texts count as empty and get the bias alone; without any label every score is 0.5; rows that repeat an id are
-    scored one by one; columns other than doc_id and text are ignored.
+    Null and empty texts get the bias alone; texts of any length are scored whole; without any label every score is 0.5; rows
+    that repeat an id are scored one by one; a score equal to the threshold is predicted 1; an empty table gives an empty
+    result; columns other than doc_id and text are ignored.
     """
     weights, bias = _learned(docs, labels)
     return scored(docs, fold("doc_id", 5, 0), THRESHOLD, features, 1 << BITS, weights, lambda s, _: sigmoid(s + bias))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic. They are filtered where they are read; nothing is shuffled."""
+    """The rows of docs that are not predicted toxic. They are filtered where they are read; nothing of them is shuffled.
+
+    Null and empty texts are judged by the bias alone, as all texts are without any label (a score of 0.5 would drop them, so
+    without labels every row stays); rows that repeat an id are judged by their own text; an empty table gives an empty
+    result. All columns, of any name, stay as they are.
+    """
     weights, bias = _learned(docs, labels)
+    if not len(weights[0]) and bias == 0:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast((weights[0].astype(np.int32), weights[1]))
 
     @F.arrow_udf("boolean")

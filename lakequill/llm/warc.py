@@ -9,6 +9,7 @@ digest, and refers to the record that holds the payload.
 from __future__ import annotations
 
 import base64
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,9 +19,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, small, tasks
+from .common import materialise, scratch, small, table, tasks
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_type string, refers_to long"
+#: Up to so many repeated digests (20 bytes and an id each) go to the pages; beyond, pages and digests are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+#: Schemes of Hadoop that Arrow's file systems know by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 _DATE = "1970-01-01T00:00:00Z"
 
@@ -29,35 +34,43 @@ def deduplicated(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Adds ``sha1`` (hex) and ``refers_to``: null for the record that holds its payload, else the page that does.
 
     Of equal payloads of ``min_bytes`` or more, the largest page_id holds it. Rows that repeat that page_id all hold it.
-    A null page_id counts as below all others. Counting is partial before the shuffle; the html moves only when the
-    table of repeated digests is too large to broadcast, and Spark then splits skewed digests.
+    A null page_id counts as below all others. Counting is partial before the shuffle. The html does not move, unless more
+    than MOST_BROADCAST digests repeat; then Spark splits skewed digests.
     """
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    repeated = (
+    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    repeated = materialise(
         pages.filter(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1").select("sha1", "holder")
     )
+    few = repeated.count() <= MOST_BROADCAST
     refers = F.when(F.col("holder").isNotNull() & ~F.col("holder").eqNullSafe(F.col("page_id")), F.col("holder"))
-    return pages.join(repeated, "sha1", "left").select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
+    return pages.join(F.broadcast(repeated) if few else repeated.hint("merge"), "sha1", "left").select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """The bytes of one record before compression."""
+def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a folder, and the folder in it; Hadoop's names of schemes are understood."""
+    scheme, mark, rest = folder.partition("://")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, place: str = "") -> bytes:
+    """The bytes of one record before compression. Its id is made from its place, so that rows that repeat a page differ."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + payload if refers_to is None else head
     target = "".join(f"%{ord(c):02X}" if c in "\r\n" else c for c in url or "")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>",
         f"WARC-Date: {_DATE}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
+        f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if refers_to is not None:
-        lines[4:4] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines[4:4] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -71,13 +84,11 @@ def parsed(data: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    urn = lambda s: int(v) if (v := s.strip("<>").rpartition(":")[2]) else None
-    out = {"page_id": urn(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "payload_bytes": size, "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": None, "payload": None}
+    number = lambda v: int(v) if v else None
+    out = {"page_id": number(fields["X-Page-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "payload_bytes": size, "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": None, "payload": None}
     if out["record_type"] == "revisit":
-        out["refers_to"] = urn(fields["WARC-Refers-To"])
+        out["refers_to"] = number(fields["X-Refers-To-Page"])
     else:
-        import hashlib
-
         if len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != out["payload_digest"]:
             raise ValueError(f"record {out['page_id']}: its payload does not match its length and digest")
         out["payload"] = payload
@@ -92,7 +103,7 @@ def write_archives(pages: DataFrame, folder: str, max_file_bytes: int = 1 << 30)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         rows: list[tuple] = []
         out, name, at = None, "", 0
@@ -108,9 +119,9 @@ def write_archives(pages: DataFrame, folder: str, max_file_bytes: int = 1 << 30)
                 if out is None:
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{base}/{name}.open", compression=None)
-                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                digest = base64.b32encode(sha1).decode()
                 z = zlib.compressobj(1, zlib.DEFLATED, 31)
-                data = z.compress(record(page_id, url, html, digest, refers)) + z.flush()
+                data = z.compress(record(page_id, url, html, digest, refers, f"{name}:{at}")) + z.flush()
                 out.write(data)
                 rows.append((page_id, url, name, at, len(data), digest, "response" if refers is None else "revisit", refers))
                 at += len(data)
@@ -132,7 +143,7 @@ def read_archives(index: DataFrame, folder: str, max_gap: int = 1 << 16, max_ran
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = filesystem(folder)
         names = [x.split()[0] for x in RECORDS.split(", ")]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         opened: tuple[str, object] | None = None
@@ -164,14 +175,12 @@ def read_archives(index: DataFrame, folder: str, max_gap: int = 1 << 16, max_ran
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Archives all pages and reads all of them back through the index.
 
-    Null html is an empty payload, a null url is written as empty; other columns are ignored; an empty table gives an
-    empty result.
+    Null html is an empty payload, a null url is written as empty; rows that repeat a page_id are records of their own;
+    payloads of any length are kept whole; other columns are ignored; an empty table gives an empty result.
     """
     folder = folder or f"{scratch(pages.sparkSession)}/warc"
     return read_archives(write_archives(deduplicated(pages), folder), folder)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -8,6 +9,8 @@ from samples import AWKWARD, DATA, documents, text
 from lakequill.llm import linear, quality, toxicity
 from lakequill.llm.toxicity import features
 
+#: Words of the test data's toxic documents; labels of about half of these show no such word.
+ABUSE = set("trash pathetic idiot disgusting worthless stupid clown loser scum moron".split())
 BAD = ["vile", "rotten", "nasty", "awful"]
 
 
@@ -58,6 +61,7 @@ def test_without_rows_or_labels(spark):
     for module, call in ((toxicity.toxicity, None), (quality.quality, None)):
         assert module(docs.limit(0), labels).count() == 0
         assert {r.score for r in module(docs, labels.limit(0)).collect()} == {0.5}
+    assert toxicity.kept(docs, labels.limit(0)).count() == docs.count() and toxicity.kept(docs.limit(0), labels).count() == 0
 
 
 def test_kept_rows(spark):
@@ -76,6 +80,71 @@ def test_sample_is_bounded(spark):
     assert none == 0 and 380 < every.count() < 420
 
 
+def test_sample_is_bounded_in_bytes_and_has_each_id_once(spark):
+    docs = documents(spark, [(i, text(i, 40)) for i in range(400)] + [(i % 10, "a" if i % 2 else "b") for i in range(300)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    every, _ = linear.training_rows(docs, labels, "toxic", 5, 0)
+    rows = every.collect()
+    assert len(rows) == len({r.doc_id for r in rows}) and {bytes(r.text) for r in rows if r.doc_id < 10} == {b"a", b"b"}
+    some, _ = linear.training_rows(docs, labels, "toxic", 5, 0, most_bytes=20_000)
+    assert 8_000 < sum(len(r.text) for r in some.collect()) < 32_000
+
+
+def test_log_ratios_by_definition():
+    r = random.Random(5)
+    xs = [np.array(sorted(r.sample(range(40), r.randrange(0, 12))), np.int32) for _ in range(60)]
+    ys = np.array([r.randrange(2) for _ in xs])
+    got = quality.log_ratios(xs, ys)
+    for f in range(40):
+        n = [sum(f in x and y == c for x, y in zip(xs, ys, strict=True)) for c in (0, 1)]
+        of = [sum(ys == c) for c in (0, 1)]
+        want = np.log((n[1] + 1) / (of[1] + 2)) - np.log((n[0] + 1) / (of[0] + 2)) if sum(n) > 1 else 0.0
+        assert abs(got[f] - want) < 1e-12
+    assert not got[40:].any()
+
+
+def test_dual_descent_reaches_the_optimum():
+    """The primal value of its weights against its dual value: no model can be better than the latter."""
+    r = np.random.default_rng(3)
+    for epochs, gap in ((quality.EPOCHS, 0.05), (400, 1e-3)):
+        rows, signs = [], []
+        for _ in range(300):
+            x = np.sort(r.choice(60, 8, replace=False))
+            v = r.normal(size=8)
+            rows.append((x, v / np.linalg.norm(v)))
+            signs.append(1 if v[x < 20].sum() + 0.3 * r.normal() > 0 else -1)
+        signs, cost = np.array(signs), np.where(np.array(signs) > 0, 0.8, 0.3)
+        w, bias, alpha = quality.descended(rows, signs, cost, 60, epochs)
+        margins = np.array([w[x] @ v + bias for x, v in rows])
+        primal = (w @ w + bias**2) / 2 + (cost * np.maximum(0, 1 - signs * margins)).sum()
+        dual = alpha.sum() - (w @ w + bias**2) / 2
+        assert (alpha >= 0).all() and (alpha <= cost).all() and dual <= primal + 1e-9 and primal - dual < gap * primal, (epochs, primal, dual)
+        back = np.zeros(60)
+        for (x, v), a, y in zip(rows, alpha, signs, strict=True):
+            back[x] += a * y * v
+        assert np.allclose(back, w) and abs((alpha * signs).sum() - bias) < 1e-9
+
+
+def test_model_against_brute_force():
+    """Scaled features, margin and curve of the whole model, from the parts' definitions."""
+    xs = [quality.features(text(i, 20).encode() if i % 2 else text(i, 20).upper().encode()) for i in range(200)]
+    ys = np.array([i % 2 for i in range(200)])
+    at, w, v = quality.nb_svm(xs, ys)
+    weights, norms = dict(zip(at.tolist(), w, strict=True)), dict(zip(at.tolist(), v, strict=True))
+    fit = [i for i in range(200) if i % 5 != 4]
+    ratio = quality.log_ratios([xs[i] for i in fit], ys[fit])
+    rows = [(x[ratio[x] != 0], ratio[x[ratio[x] != 0]] / np.linalg.norm(ratio[x])) for x in xs]
+    cost = np.full(200, quality.COST * 10)
+    dense, bias, _ = quality.descended([rows[i] for i in fit], 2 * ys[fit] - 1, cost[fit], 1 << quality.BITS)
+    margins = np.array([dense[x] @ y + bias for x, y in rows])
+    slope, offset = weights[quality._A], weights[quality._B]
+    for i in range(0, 200, 7):
+        got = quality.curve(sum(weights.get(int(f), 0) for f in xs[i]), sum(norms.get(int(f), 0) for f in xs[i]), slope, offset)
+        want = 1 / (1 + np.exp(-(slope * margins[i] + offset - slope * bias)))
+        assert abs(got - want) < 1e-9
+    assert all((slope * margins[i] + offset - slope * bias > 0) == bool(ys[i]) for i in range(200))
+
+
 def test_ftrl_is_sparse_and_follows_the_update():
     """The vectorised update against the published one, coordinate by coordinate."""
     xs = [features(t.encode()) for t in ("vile words here", "fine words here", "vile and nasty", "all fine")] * 40
@@ -107,3 +176,9 @@ def test_whole_table(spark, module, column, share):
     got = module.query(spark, f"{DATA}/sf0.1").collect()
     held = [r for r in got if r.held_out and r.doc_id in labels]
     assert len(got) == 10000 and np.mean([r.predicted == labels[r.doc_id] for r in held]) > share
+    if module is toxicity:
+        docs = {r.doc_id: set(re.findall("[a-z]+", (r.text or "").lower())) for r in spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").collect()}
+        toxic = [r for r in held if labels[r.doc_id]]
+        shows = [r for r in toxic if docs[r.doc_id] & ABUSE]
+        assert sum(r.predicted for r in held) - sum(r.predicted for r in toxic) <= 2
+        assert np.mean([r.predicted for r in toxic]) > 0.84 and np.mean([r.predicted for r in shows]) > 0.98 and len(shows) > 40

@@ -116,3 +116,13 @@ def test_components(spark):
     got = {r.id: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 6), 1), **dict.fromkeys((10, 11, 20), 10), **dict.fromkeys(range(100, 141), 100)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_kept_counts_rows_one_by_one(spark):
+    """Rows that repeat an id, or have none, are linked by what they hold."""
+    rows = [(5, text(1)), (5, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (7, text(2)), (8, text(3)), (8, text(4)), (None, None), (None, ""), (9, ""), (9, "")]
+    df = documents(spark, rows)
+    got = jaccard.kept(df)
+    assert got.dtypes == df.dtypes
+    want = [(5, text(1)), (7, text(2)), (8, text(3)), (8, text(4)), (None, None), (None, ""), (9, ""), (9, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)

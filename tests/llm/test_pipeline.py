@@ -1,6 +1,7 @@
 """The stages one by one against what each should leave of its own input, and run() against the stages."""
 
-from samples import DATA
+from pyspark.sql import functions as F
+from samples import AWKWARD, DATA, text
 from test_jaccard import brute
 
 import corpus_pipeline
@@ -31,12 +32,43 @@ def test_stages(spark):
     assert all(r.n_chars == len(r.text) and (r.text == before[r.doc_id] or "[" in r.text) for r in masked.collect())
 
     mixed = stages["mixing"](spark, masked, sf)
-    plan = {r.doc_id: r.copies for r in mixing.mix(mixing.words(masked)).collect() if r.copies}
+    sources = F.array(*(F.coalesce(F.concat(F.lit(f"{c}="), F.col(c)), F.lit(c)) for c in ("source", "lang")))
+    plan = {r.doc_id: r.copies for r in mixing.mix(mixing.words(masked).drop("sources").join(masked.select("doc_id", sources.alias("sources")), "doc_id"), content="content", share=mixing.SHARE / 2).collect() if r.copies and r["size"]}
     got = mixed.collect()
     assert mixed.columns == [*columns, "copies"] and {r.doc_id: r.copies for r in got} == plan
     assert sorted(map(repr, corpus_pipeline.run(spark, sf).collect())) == sorted(map(repr, got))
 
 
+def test_awkward_rows_in_every_stage(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, null ids, and columns with the stages' own names."""
+    item, token = text(77, 40), "0123456789abcdef" * 2
+    rows = [(d, t, None if i % 3 else "en", None if i % 2 else "a", None) for i, (d, t) in enumerate(AWKWARD)]
+    rows += [(20, f"{text(5, 50)} {item.upper()} {text(6, 9)}", "en", "a", 1), (21, "x " * 200_000 + "mail a@b.cd " + "y " * 200_000, "de", "b", 2), (None, text(30), "en", "b", 3), (None, text(30), "en", "b", 3), (22, text(30), None, None, 4)]
+    rows += [(100 + i, text(300 + i, 50), "en", "ab"[i % 2], None) for i in range(60)] + [(300 + i, text(900 + i, 20) + " vile rotten", "en", "a", None) for i in range(40)]
+    rows += [(400 + i, f'{text(500 + i, 20)} token = "{i}{token}" {text(600 + i, 9)}', "de", "b", 7) for i in range(8)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "copies", "_id", "_size", "row", "given", "score", "x.y"]
+    df = spark.createDataFrame([(*r, *range(7)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"c{i} int" for i in range(7))).toDF(*names)
+    sf = str(tmp_path)
+    spark.createDataFrame([(100 + i, 1, 0) for i in range(60)] + [(300 + i, 1, 1) for i in range(40)] + [(None, None, None), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "x"), (3, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, steps = df, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, sf))
+        assert docs.columns == (names if name != "mixing" else [*names, "copies_"])
+        steps[name] = docs.collect()
+        assert stage(spark, df.limit(0), sf).count() == 0
+    ids = {n: [r.doc_id for r in got] for n, got in steps.items()}
+    assert not {300 + i for i in range(40)} & set(ids["toxicity"]) and {100 + i for i in range(60)} <= set(ids["toxicity"])
+    gone = len(ids["toxicity"]) - len(ids["ngram_jaccard_join"])
+    assert gone == 5 and ids["ngram_jaccard_join"].count(6) == 1 and None not in [r.doc_id for r in steps["ngram_jaccard_join"] if r.text == text(30)], gone
+    assert 20 not in ids["benchmark_decontamination"] and {1, 2, 3, 21} <= set(ids["benchmark_decontamination"])
+    masked = {r.doc_id: r for r in steps["pii"]}
+    assert masked[1].text is None and masked[2].text == "" and "mail [EMAIL] y" in masked[21].text and all('token = "[ID]"' in masked[400 + i].text for i in range(8))
+    assert masked[21].n_chars == len(masked[21].text) and masked[101].n_chars is None and masked[101].text == text(301, 50)
+    mixed = {r.doc_id: r for r in steps["mixing"]}
+    assert set(mixed) <= set(ids["pii"]) and not {1, 2, 3} & set(mixed) and all(r["copies_"] in (1, 2) and r["x.y"] == 6 for r in mixed.values())
+
+
 def test_no_documents(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         table(spark, f"{DATA}/sf0.001", t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")

@@ -56,6 +56,25 @@ def test_min_bytes(spark):
     assert {r.page_id: r.refers_to for r in warc.deduplicated(df, 5).collect()} == {1: None, 2: None, 3: 4, 4: None}
 
 
+def test_long_payloads_repeated_pages_and_many_repeats(spark, tmp_path, monkeypatch):
+    rows = [(1, "a", "é" * 3_000_000), (1, "a", "é" * 3_000_000), (1, "a", "x"), (2, None, "x"), (3, "c", "é" * 3_000_000)] + [(10 + i, "u", f"{i % 5}") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (1_000_000, 0):  # digests broadcast, and joined by a shuffle
+        monkeypatch.setattr(warc, "MOST_BROADCAST", most)
+        assert plain(warc.round_trip(df, f"file://{tmp_path}/{most}")) == expected(rows)
+    whole = b"".join(gzip.decompress((tmp_path / "0" / f).read_bytes()) for f in os.listdir(tmp_path / "0") if f.endswith(".gz"))
+    ids = [x for x in whole.split(b"\r\n") if x.startswith(b"WARC-Record-ID: ")]
+    assert len(ids) == len(set(ids)) == len(rows)
+
+
+def test_schemes_of_hadoop(monkeypatch):
+    seen = []
+    monkeypatch.setattr(warc, "pafs", type("fs", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(seen.append)})}))
+    for uri in ("s3a://bucket/x", "abfss://c@a/x", "file:///x", "hdfs://n/x", "/x"):
+        warc.filesystem(uri)
+    assert seen == ["s3://bucket/x", "abfs://c@a/x", "file:///x", "hdfs://n/x", "/x"]
+
+
 def test_whole_table(spark):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{DATA}/sf0.001/pages.parquet").collect()]
     got = warc.query(spark, f"{DATA}/sf0.001")
