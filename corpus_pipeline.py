@@ -1,51 +1,5 @@
-"""A corpus pipeline of five stages: toxic documents go, of each group of near duplicates one stays, documents that hold
-benchmark items go, personal data is masked, and what is left is mixed to the sources' target weights."""
+"""The corpus pipeline: ``STAGES``, ``run`` and ``ORACLE_SQL``, which belong to the training-data operators."""
 
-from __future__ import annotations
+from lakequill.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from lakequill.llm import decontaminate, jaccard, mixing, pii, toxicity
-from lakequill.llm.common import materialise, table
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.kept(docs, table(spark, sf_dir, "labels"))
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.kept(docs)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.kept(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redacted(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("ngram_jaccard_join", drop_near_duplicates),
-    ("benchmark_decontamination", drop_contaminated),
-    ("pii", mask_personal_data),
-    ("mixing", mix_sources),
-]
-
-#: A learned score decides the first stage, which SQL cannot express.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
