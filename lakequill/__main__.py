@@ -25,6 +25,7 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--memory-limit", help="e.g. 512MB, 2GB; the heap of a local engine")
         c.add_argument("--batch-size", type=int, default=2048)
         c.add_argument("--spill-dir")
+        c.add_argument("--master", help="a Spark cluster's master, e.g. spark://host:7077 or yarn; default: this machine with --threads")
 
     def statement(c: argparse.ArgumentParser) -> None:
         c.add_argument("sql", nargs="?")
@@ -53,7 +54,7 @@ def _sql(args: argparse.Namespace) -> str:
 
 
 def session(args: argparse.Namespace) -> Session:
-    config = ExecConfig(max(1, args.batch_size), max(1, args.threads), parse_bytes(args.memory_limit) if args.memory_limit else None, args.spill_dir)
+    config = ExecConfig(max(1, args.batch_size), max(1, args.threads), parse_bytes(args.memory_limit) if args.memory_limit else None, args.spill_dir, args.master)
     spark = config.start()
     spark.sparkContext.setLogLevel("ERROR")
     return Session(spark, args.data, config)
@@ -105,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     try:
         if args.command in ("worker", "coordinator"):
-            raise UnsupportedError(f"{args.command}: run the query on a Spark cluster instead")
+            raise UnsupportedError(f"{args.command}: run the query on a Spark cluster instead, with --master or spark-submit")
         if args.command == "repl":
             repl(session(args))
         elif args.command == "bench":

@@ -6,6 +6,7 @@ import os
 import re
 from dataclasses import dataclass
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 from .errors import PlanError
@@ -21,6 +22,11 @@ def parse_bytes(size: str) -> int:
     return int(float(m[1]) * _UNITS[m[2].upper()])
 
 
+def _submitted() -> dict[str, str]:
+    """The settings that spark-submit gave, if it started this program."""
+    return dict(SparkConf().getAll()) if "PYSPARK_GATEWAY_PORT" in os.environ else {}
+
+
 @dataclass
 class ExecConfig:
     """``threads``, ``memory_limit`` and ``spill_dir`` take effect when the Spark context starts; ``batch_size`` is that of the Parquet reader."""
@@ -29,6 +35,7 @@ class ExecConfig:
     threads: int = 1
     memory_limit: int | None = None
     spill_dir: str | None = None
+    master: str | None = None
 
     def session_confs(self) -> dict[str, str]:
         """What holds within a session: no ANSI errors, so that integers wrap and a division by zero gives NULL."""
@@ -42,9 +49,12 @@ class ExecConfig:
 
     def start(self) -> SparkSession:
         """A Spark session for stand-alone use; where one runs already (on a cluster), that one."""
-        builder = SparkSession.builder.appName("lakequill").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", str(max(1, self.threads)))
-        if "SPARK_MASTER" not in os.environ and SparkSession.getActiveSession() is None:
-            builder = builder.master(f"local[{max(1, self.threads)}]")
+        builder = SparkSession.builder.appName("lakequill").config("spark.ui.enabled", "false")
+        master = self.master or os.environ.get("SPARK_MASTER")
+        if master:
+            builder = builder.master(master)
+        elif SparkSession.getActiveSession() is None and "spark.master" not in _submitted():
+            builder = builder.master(f"local[{max(1, self.threads)}]").config("spark.sql.shuffle.partitions", str(max(1, self.threads)))
         if self.memory_limit:
             builder = builder.config("spark.driver.memory", f"{max(512, self.memory_limit >> 20)}m")
         if self.spill_dir:

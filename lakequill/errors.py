@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 
 
@@ -46,6 +48,8 @@ class InternalError(EngineError):
 
 
 class ResourcesExhausted(EngineError):
+    """A task got less memory than it cannot do without; Spark spills before it comes to that."""
+
     kind, prefix = "ResourcesExhausted", "memory limit exceeded: "
 
     def __init__(self, operator: str, requested: int, used: int, limit: int):
@@ -58,6 +62,10 @@ def from_spark(error: BaseException) -> EngineError:
     if isinstance(error, EngineError):
         return error
     text = str(error).split("\n\nJVM stacktrace")[0].strip()
+    if m := re.search(r"Unable to acquire (\d+) bytes of memory, got (\d+)", text):
+        return ResourcesExhausted("task", int(m[1]), int(m[1]) - int(m[2]), int(m[2]))
+    if "OutOfMemoryError" in text:
+        return ResourcesExhausted("heap", 0, 0, 0)
     if isinstance(error, ParseException):
         return ParseError(text)
     if isinstance(error, AnalysisException):

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMERIC = ("int", "bigint", "double")
+#: Texts that may be dates: year, month and day. Spark alone would take a year for a date as well.
+DATE = r"^\s*[0-9]{4,}-[0-9]{1,2}-[0-9]{1,2}\s*$"
 
 
 def supertype(a: str, b: str) -> str:
@@ -49,7 +51,10 @@ def cast(value: Column, source: str, target: str) -> Column | None:
         return F.date_from_unix_date(value)
     if target == "string":
         return value.cast("string")
-    if source == "string" and target == "date" or source.startswith("timestamp") and target == "date":
+    if source == "string" and target == "date":
+        day = F.when(value.rlike(DATE), value.cast("date"))
+        return F.when(value.isNotNull() & day.isNull(), F.raise_error(F.concat(F.lit("cannot cast '"), value, F.lit("' to DATE"))).cast("date")).otherwise(day)
+    if source.startswith("timestamp") and target == "date":
         return value.cast("date")
     return None
 

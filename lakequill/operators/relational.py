@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..errors import UnsupportedError
 
@@ -47,16 +46,3 @@ def window_of_rows(df: DataFrame, limit: int | None, offset: int) -> DataFrame:
     """Skips ``offset`` rows and keeps ``limit``."""
     df = df.offset(offset) if offset else df
     return df if limit is None else df.limit(limit)
-
-
-def scatter_gather(parts: Sequence[DataFrame], keys: Sequence[str], sums: Sequence[str] = (), counts: Sequence[str] = (), least: Sequence[str] = (), most: Sequence[str] = ()) -> DataFrame:
-    """The aggregate of the union of parts from partial states of each part: what Spark does between map and reduce, by name."""
-    if not (sums or counts or least or most):
-        raise UnsupportedError("scatter-gather without an aggregate")
-    states = [F.sum(c).alias(f"sum_{c}") for c in sums] + [F.count(c).alias(f"count_{c}") for c in counts] + [F.min(c).alias(f"min_{c}") for c in least] + [F.max(c).alias(f"max_{c}") for c in most]
-    merge = [F.sum(f"sum_{c}").alias(f"sum_{c}") for c in sums] + [F.sum(f"count_{c}").alias(f"count_{c}") for c in counts] + [F.min(f"min_{c}").alias(f"min_{c}") for c in least] + [F.max(f"max_{c}").alias(f"max_{c}") for c in most]
-    out = None
-    for part in parts:
-        partial = part.groupBy(*keys).agg(*states)
-        out = partial if out is None else out.unionByName(partial)
-    return out.groupBy(*keys).agg(*merge)

@@ -9,11 +9,10 @@ from .binder import Query
 
 
 def format_bytes(n: float) -> str:
-    units = ["B", "KiB", "MiB", "GiB", "TiB"]
-    u = 0
-    while n >= 1024 and u < len(units) - 1:
-        n, u = n / 1024, u + 1
-    return f"{int(n)}B" if u == 0 else f"{n:.1f}{units[u]}"
+    """Whole bytes, or one decimal of the largest binary unit up to TiB that is at least one."""
+    n = int(n)
+    ten_bits = min(4, max(0, n.bit_length() - 1) // 10)
+    return f"{n / (1 << 10 * ten_bits):.1f}{'KMGT'[ten_bits - 1]}iB" if ten_bits else f"{n}B"
 
 
 def scan_lines(query: Query) -> list[str]:
@@ -37,37 +36,79 @@ def _list(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def _metrics(node) -> str:
-    out, it = [], node.metrics().iterator()
+def _values(node) -> dict[str, tuple[str, int]]:
+    """name: (kind, value) of a node's metrics."""
+    out, it = {}, node.metrics().iterator()
     while it.hasNext():
         pair = it.next()
-        value = pair._2().value()
-        if value > 0:
-            name = pair._1()
-            out.append(f"{name}={format_bytes(value) if 'ize' in name or 'emory' in name else value}")
-    return " ".join(sorted(out))
-
-
-def _tree(node, depth: int, out: list[str]) -> int:
-    """Adds the node and those below; the largest peak memory seen."""
-    kind = node.getClass().getSimpleName()
-    if kind == "AdaptiveSparkPlanExec":
-        return _tree(node.executedPlan(), depth, out)
-    if kind.endswith("QueryStageExec"):
-        return _tree(node.plan(), depth, out)
-    if kind in ("WholeStageCodegenExec", "InputAdapter"):
-        return max((_tree(c, depth, out) for c in _list(node.children())), default=0)
-    metrics = _metrics(node)
-    out.append("  " * depth + node.simpleString(120) + (f"  [{metrics}]" if metrics else ""))
-    peak = node.metrics().get("peakMemory")
-    own = peak.get().value() if peak.isDefined() else 0
-    return max([own, *(_tree(c, depth + 1, out) for c in _list(node.children()))])
+        out[pair._1()] = (pair._2().metricType(), pair._2().value())
+    return out
+
+
+def _shown(name: str, kind: str, value: int) -> str:
+    if kind == "size":
+        return f"{name}={format_bytes(value)}"
+    if kind in ("timing", "nsTiming"):
+        return f"{name}={value / (1e6 if kind == 'nsTiming' else 1):.2f}ms"
+    return f"{name}={value}"
+
+
+class _Report:
+    """The nodes of an executed plan with their metrics, the pipelines (code generated as one) with their time."""
+
+    def __init__(self, plan):
+        self.lines: list[str] = []
+        self.pipelines: list[tuple[str, float]] = []
+        self.peak = 0
+        self._add(plan, 0)
+
+    def _add(self, node, depth: int) -> int | None:
+        """Adds the node and those below; the rows that come out of it, as far as known."""
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return self._add(node.executedPlan(), depth)
+        if kind.endswith("QueryStageExec"):
+            return self._add(node.plan(), depth)
+        if kind == "InputAdapter":
+            return self._add(node.child(), depth)
+        if kind == "WholeStageCodegenExec":
+            names, at = [], node.child()
+            while at.getClass().getSimpleName() != "InputAdapter":
+                names.append(at.nodeName())
+                below = _list(at.children())
+                if len(below) != 1:
+                    break
+                at = below[0]
+            time_ = _values(node).get("pipelineTime", ("timing", 0))[1]
+            self.pipelines.append((" <- ".join(names), float(time_)))
+            return self._add(node.child(), depth)
+        place = len(self.lines)
+        self.lines.append("")
+        rows = [self._add(c, depth + 1) for c in _list(node.children())]
+        values = _values(node)
+        self.peak = max(self.peak, values.get("peakMemory", ("size", 0))[1])
+        came = None if not rows or None in rows else sum(rows)
+        out = values["numOutputRows"][1] if "numOutputRows" in values else values["shuffleRecordsWritten"][1] if "shuffleRecordsWritten" in values else came if kind in KEEPING else None
+        told = [f"rows_in={came}"] * (came is not None) + [f"rows_out={out}"] * (out is not None)
+        told += sorted(_shown(n, *v) for n, v in values.items() if v[1] > 0 and n != "numOutputRows")
+        self.lines[place] = "  " * depth + node.simpleString(120) + (f"  [{' '.join(told)}]" if told else "")
+        return out
+
+
+#: Nodes that let every row through, and do not count them.
+KEEPING = frozenset(("ProjectExec", "SortExec", "AQEShuffleReadExec", "ColumnarToRowExec"))
 
 
 def analyzed(query: Query) -> str:
+    """Runs the query where its data is, without taking the result to the driver, and shows what each node did."""
+    run = query.frame._jdf.queryExecution()
     began = time.perf_counter()
-    rows = query.frame.collect()
+    rows = run.toRdd().count()
     took = (time.perf_counter() - began) * 1e3
-    out: list[str] = []
-    peak = _tree(query.frame._jdf.queryExecution().executedPlan(), 0, out)
-    return "== Physical plan with metrics ==\n" + "\n".join(out + scan_lines(query)) + f"\n\nTotal: {took:.2f} ms, {len(rows)} result row(s), peak memory of an operator {format_bytes(peak)}\n"
+    report = _Report(run.executedPlan())
+    pipelines = [f"#{i} {t:>10.2f} ms  {names}" for i, (names, t) in enumerate(reversed(report.pipelines))]
+    return "\n".join([
+        "== Physical plan with metrics ==", *report.lines, *scan_lines(query), "== Pipelines ==", *pipelines, "",
+        f"Total: {took:.2f} ms, {rows} result row(s), peak memory of an operator {format_bytes(report.peak)}",
+        "(times are summed over all tasks; rows_in is what the nodes below gave)", "",
+    ])
