@@ -11,10 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from ..session import Session
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-
 #: name: (statement of the dialect, oracle's SQL or None for the same)
 QUERIES: dict[str, tuple[str, str | None]] = {
     # the reference workload, fitted to the columns at hand
@@ -76,6 +75,13 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     ),
     # scans and projection
     "scan_project": ("SELECT o_orderkey, o_orderpriority FROM orders", None),
+    "select_star_join": ("SELECT * FROM supplier, nation, region WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey", None),
+    "mod_double": ("SELECT l_orderkey, l_linenumber, l_quantity % 7.5 AS m, l_extendedprice % l_quantity AS r FROM lineitem", "SELECT l_orderkey, l_linenumber, fmod(l_quantity, 7.5) AS m, fmod(l_extendedprice, l_quantity) AS r FROM lineitem"),
+    "cast_int_wraps": ("SELECT o_orderkey, CAST(o_orderkey * 1000003 * 4099 AS INT) AS w FROM orders", "SELECT o_orderkey, CAST((o_orderkey * 1000003 * 4099 + 2147483648) % 4294967296 - 2147483648 AS INTEGER) AS w FROM orders"),
+    "cast_date_int": ("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS INT) AS d FROM orders", "SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS d FROM orders"),
+    "cast_int_date": ("SELECT c_custkey, CAST(c_nationkey AS DATE) AS d FROM customer", "SELECT c_custkey, CAST(DATE '1970-01-01' + c_nationkey AS DATE) AS d FROM customer"),
+    "cast_string_date": ("SELECT o_orderkey, CAST(CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS DATE) AS d FROM orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders"),
+    "case_typing": ("SELECT p_partkey, CASE WHEN p_size < 10 THEN p_size WHEN p_size < 20 THEN p_retailprice WHEN p_size < 30 THEN NULL ELSE p_partkey END AS v FROM part", "SELECT p_partkey, CASE WHEN p_size < 10 THEN CAST(p_size AS DOUBLE) WHEN p_size < 20 THEN p_retailprice WHEN p_size < 30 THEN NULL ELSE CAST(p_partkey AS DOUBLE) END AS v FROM part"),
     "select_star": ("SELECT * FROM nation", None),
     "alias_expr": ("SELECT p_partkey AS k, p_size + 1 AS next_size FROM part", "SELECT p_partkey AS k, CAST(p_size + 1 AS BIGINT) AS next_size FROM part"),
     "count_star_no_columns": ("SELECT count(*) AS n FROM lineitem", None),
@@ -168,9 +174,9 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         None,
     ),
     # sort and limit
-    "sort_asc_nulls_last": ("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS s FROM part ORDER BY s, p_partkey LIMIT 1000", None),
-    "sort_desc_nulls_last": ("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS s FROM part ORDER BY s DESC, p_partkey LIMIT 1100", None),
-    "sort_nulls_first": ("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS s FROM part ORDER BY s NULLS FIRST, p_partkey LIMIT 900", None),
+    "sort_asc_nulls_last": ("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS s FROM part ORDER BY s, p_partkey", None),
+    "sort_desc_nulls_last": ("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS s FROM part ORDER BY s DESC, p_partkey", None),
+    "sort_nulls_first": ("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size END AS s FROM part ORDER BY s NULLS FIRST, p_partkey", None),
     "sort_by_alias": ("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders ORDER BY twice DESC, o_orderkey LIMIT 50", None),
     "sort_by_position": ("SELECT c_custkey, c_acctbal FROM customer ORDER BY 2, 1 LIMIT 40", None),
     "sort_by_hidden_expr": ("SELECT c_custkey FROM customer ORDER BY c_acctbal * -1, c_custkey LIMIT 30", None),
@@ -207,24 +213,81 @@ ROUNDED: dict[str, dict[str, int]] = {
 }
 
 
-def _query(name: str, sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    used = [t for t in TABLES if t in sql]
+_opened: dict[tuple[str, str], Session] = {}
+
+
+def opened(spark: SparkSession, sf_dir: str) -> Session:
+    """One session for each application and folder; tables are opened when a query first needs them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _opened:
+        _opened[key] = Session(spark, sf_dir, tables=[])
+    return _opened[key]
+
 
+def _query(name: str, sql: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = Session(spark, sf_dir, tables=used).dataframe(sql)
+        out = opened(spark, sf_dir).dataframe(sql)
         return out.withColumns({c: F.round(c, n) for c, n in ROUNDED.get(name, {}).items()})
 
     return run
 
 
+#: Statements that are outside the dialect, and the layer that says so.
+REJECTED = {
+    "SELECT o_orderstatus, o_custkey, count(*) FROM orders GROUP BY o_orderstatus": "Plan",
+    "SELECT o_orderkey + count(*) FROM orders GROUP BY o_custkey": "Plan",
+    "SELECT o_orderkey FROM orders LIMIT 1 + 1": "Unsupported",
+    "SELECT o_orderkey FROM orders LIMIT o_custkey": "Unsupported",
+    "SELECT CASE WHEN o_orderkey > 1 THEN 1 ELSE o_orderstatus END FROM orders": "Plan",
+    "SELECT CAST(o_orderstatus AS INT) FROM orders": "Unsupported",
+    "SELECT CAST(o_totalprice AS DATE) FROM orders": "Unsupported",
+    "SELECT CAST(o_orderstatus AS DATE) FROM orders": "Execution",
+    "SELECT o_orderkey FROM orders, customer": "Unsupported",
+}
+
+
+def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the statements above fails with."""
+    rows = []
+    for sql in REJECTED:
+        try:
+            opened(spark, sf_dir).run(sql)
+            rows.append((sql, "none"))
+        except EngineError as e:
+            rows.append((sql, e.kind))
+    return spark.createDataFrame(rows, "statement string, failed string")
+
+
+def _in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows at hand as a table, joined with one that is made of them."""
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (2, None), (None, "c")], "k long, v string")
+    return Session(spark, {"t": t, "u": t}).dataframe("SELECT t.k, t.v, u.v AS w FROM t, u WHERE t.k = u.k")
+
+
+def _file_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table cut down to some of its files: none of them, and all."""
+    catalog = opened(spark, sf_dir).catalog
+    every, none = (Session(spark, catalog.restrict_to_files("orders", list(kept))) for kept in (range(len(catalog.table("orders").files)), ()))
+    sql = "SELECT count(*) AS n, sum(o_custkey) AS s FROM orders"
+    return every.dataframe(sql).unionByName(none.dataframe(sql))
+
+
+#: Queries that take more than a statement: (function, oracle's SQL).
+BEYOND_SQL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "rejected_statements": (_rejected, "SELECT * FROM (VALUES " + ", ".join(f"('{sql}', '{kind}')" for sql, kind in REJECTED.items()) + ") AS t(statement, failed)"),
+    "in_memory_rows": (_in_memory, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a', 'a'), (2, 'b', 'b'), (2, 'b', NULL), (2, NULL, 'b'), (2, NULL, NULL)) AS t(k, v, w)"),
+    "file_subset": (_file_subset, "SELECT count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS s FROM orders UNION ALL SELECT 0, NULL"),
+}
+
+
 def _oracle(name: str, sql: str) -> str:
     rounded = ", ".join(f"round({c}, {n}) AS {c}" for c, n in ROUNDED.get(name, {}).items())
     return f"SELECT * REPLACE ({rounded}) FROM ({sql}) AS q" if rounded else sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name, sql) for name, (sql, _) in QUERIES.items()}
+    return {name: _query(name, sql) for name, (sql, _) in QUERIES.items()} | {name: f for name, (f, _) in BEYOND_SQL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _oracle(name, other or sql) for name, (sql, other) in QUERIES.items()}
+    return {name: _oracle(name, other or sql) for name, (sql, other) in QUERIES.items()} | {name: sql for name, (_, sql) in BEYOND_SQL.items()}

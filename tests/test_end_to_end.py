@@ -1,6 +1,7 @@
 """Fixtures with known answers: a two-table join set with small row groups, a set in three files, and a spill set."""
 
 import datetime
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -8,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakequill.errors import ExecutionError, IoError, ParseError, PlanError, UnsupportedError
-from lakequill.operators.relational import scatter_gather
 from lakequill.session import Session
 
 START = datetime.date(1995, 1, 1)
@@ -72,7 +72,15 @@ def test_pruning_is_reported(session):
     shown = session.run(f"EXPLAIN {sql}").text
     assert "row_groups=3/10" in shown and "== Optimized logical plan ==" in shown
     ran = session.run(f"explain analyze {sql}").text
-    assert "1 result row(s)" in ran and "numOutputRows=" in ran
+    assert "1 result row(s)" in ran and "rows_out=300" in ran and "== Pipelines ==" in ran and "row_groups=3/10" in ran
+    assert re.search(r"HashAggregate.*rows_in=300 rows_out=1", ran) and re.search(r"#0 +[0-9.]+ ms  .*HashAggregate", ran)
+
+
+def test_analyze_leaves_the_result_where_it_is(session, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(DataFrame, "collect", None)
+    assert "10000 result row(s)" in session.run("EXPLAIN ANALYZE SELECT l_orderkey FROM lineitem ORDER BY l_price").text
 
 
 def test_conditions(session):
@@ -90,14 +98,12 @@ def test_three_files(session):
     assert values(session, "SELECT count(*) AS c FROM sales GROUP BY s_kind HAVING count(*) > 1 ORDER BY c DESC LIMIT 1") == [(4500,)]
 
 
-def test_scatter_gather_equals_the_whole(session):
-    parts = [session.catalog.restrict_to_files("sales", [i]).table("sales").frame for i in range(3)]
-    assert sum(p.count() for p in parts) == 9000
-    got = {r["s_region"]: r for r in scatter_gather(parts, ["s_region"], sums=["s_amount"], counts=["s_kind"], least=["s_amount"], most=["s_kind"]).collect()}
-    for region, total, n in values(session, "SELECT s_region, sum(s_amount), count(*) FROM sales GROUP BY s_region"):
-        assert got[region]["sum_s_amount"] == pytest.approx(total, rel=1e-9) and got[region]["count_s_kind"] == n
-    with pytest.raises(UnsupportedError):
-        scatter_gather(parts, ["s_region"])
+def test_parts_of_a_table_add_up_to_the_whole(spark, session):
+    sql = "SELECT s_region, sum(s_amount) AS t, count(s_kind) AS n FROM sales GROUP BY s_region"
+    parts = [Session(spark, session.catalog.restrict_to_files("sales", [i])).dataframe(sql) for i in range(3)]
+    got = {r.s_region: r for r in parts[0].union(parts[1]).union(parts[2]).groupBy("s_region").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()}
+    for region, total, n in values(session, sql):
+        assert got[region].t == pytest.approx(total, rel=1e-9) and got[region].n == n
 
 
 def test_large_groups(spark):
@@ -136,6 +142,7 @@ def test_large_groups(spark):
         ("SELECT l_flag FROM lineitem WHERE l_shipdate < DATE '1995-13-01'", PlanError),
         ("SELECT CAST('x' AS DATE) FROM lineitem", ExecutionError),
         ("SELECT CAST(l_flag AS INT) FROM lineitem", UnsupportedError),
+        ("SELECT CAST(l_flag AS DATE) FROM lineitem", ExecutionError),
         ("SELECT min(l_price > 1) FROM lineitem", ExecutionError),
         ("SELECT 9223372036854775807 + 1 FROM lineitem", PlanError),
         ("INSERT INTO lineitem VALUES (1)", UnsupportedError),
@@ -162,6 +169,44 @@ def test_catalog_errors(spark, tmp_path):
         Session(spark, str(tmp_path))
 
 
+@pytest.mark.parametrize("how", ["few", "many", "hadoop"])
+def test_schemas_are_compared_alike_at_every_size(spark, tmp_path, monkeypatch, how):
+    """A file that lacks a column, or has it in another place, is found whether footers are read here, in tasks, or by Hadoop."""
+    from lakequill.sources import catalog
+
+    monkeypatch.setattr(catalog, "MOST_FOOTERS", 100 if how == "few" else 1)
+    if how == "hadoop":
+        monkeypatch.setattr(catalog, "SCHEMES", {})
+    both = {"a": pa.array([1], pa.int64()), "b": pa.array(["x"])}
+    for name, second in (("lacks", {"a": both["a"]}), ("more", both | {"c": both["a"]}), ("turned", {"b": both["b"], "a": both["a"]}), ("same", both)):
+        (tmp_path / name / "t").mkdir(parents=True)
+        for i in range(4):
+            pq.write_table(pa.table(second if i == 2 else both), tmp_path / name / "t" / f"{i}.parquet")
+        if name == "same":
+            assert Session(spark, str(tmp_path / name)).run("SELECT count(b) FROM t").rows[0][0] == 4
+        else:
+            with pytest.raises(PlanError, match="differ in their schemas"):
+                Session(spark, str(tmp_path / name))
+
+
+def test_memory_errors_are_named():
+    from lakequill.errors import ResourcesExhausted, from_spark
+
+    e = from_spark(RuntimeError("[UNABLE_TO_ACQUIRE_MEMORY] Unable to acquire 65536 bytes of memory, got 12."))
+    assert isinstance(e, ResourcesExhausted) and e.requested == 65536
+    assert isinstance(from_spark(RuntimeError("java.lang.OutOfMemoryError: Java heap space")), ResourcesExhausted)
+
+
+def test_joins_in_any_order_give_the_same(spark, session):
+    """More than two relations are joined by size; columns under * stay in the order of FROM."""
+    sql = "SELECT * FROM sales, region, lineitem, orders WHERE s_region = r_id AND l_orderkey = o_orderkey AND o_orderkey = s_region AND l_qty > 40"
+    got = session.run(sql)
+    assert got.columns[:5] == ["s_region", "s_amount", "s_kind", "r_id", "r_name"] and got.columns[5] == "o_orderkey" and got.columns[-1] == "l_shipdate"
+    assert len(got.rows) == sum(1800 * n for n in [sum(1 for i in range(10_000) if i % 1000 == k and i % 13 and i % 50 > 40) for k in range(5)])
+    # a condition with two relations on one side
+    assert values(session, "SELECT count(*) FROM orders a, orders b, orders c WHERE a.o_orderkey = b.o_orderkey AND a.o_orderkey + b.o_orderkey = c.o_orderkey") == [(500,)]
+
+
 def test_decimals_are_doubles_and_names_ignore_case(spark, tmp_path):
     import decimal
 
