@@ -12,7 +12,7 @@ from pathlib import Path
 from .config import ExecConfig, parse_bytes
 from .display import format_csv, format_table
 from .errors import EngineError, UnsupportedError
-from .session import Rows, Session
+from .session import Rows, Session, split_explain
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -113,7 +113,11 @@ def main(argv: list[str] | None = None) -> int:
             bench(session(args), _sql(args), args.runs, args.json)
         else:
             sql = _sql(args)
-            _show(session(args).run(sql), args.format)
+            if args.format == "csv" and split_explain(sql)[0] == "query":
+                for row in session(args).stream(sql):
+                    print(format_csv([row]), end="")
+            else:
+                _show(session(args).run(sql), args.format)
     except EngineError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

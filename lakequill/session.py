@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -70,6 +71,14 @@ class Session:
     def physical_plan(self, sql: str) -> str:
         return self.dataframe(sql)._jdf.queryExecution().executedPlan().toString()
 
+    def stream(self, sql: str) -> Iterator[Row]:
+        """The rows of a query one partition at a time: the driver never holds all of them."""
+        query = self.bind(sql)
+        try:
+            yield from query.frame.toLocalIterator(prefetchPartitions=True)
+        except Exception as e:  # noqa: BLE001
+            raise from_spark(e) from e
+
     def run(self, sql: str) -> Rows | Text:
         kind, body = split_explain(sql)
         query = self.bind(body)
