@@ -180,7 +180,7 @@ def _key(sources: Column) -> Column:
 
 
 def _decided(rows: DataFrame, weights: tuple[float, ...], share: float, most: int) -> tuple[DataFrame, DataFrame]:
-    """(pattern, source_size, target, whole, rem, bands): what holds for all rows of a pattern; and (row): rows with one copy more.
+    """(pattern, source_size, target, whole, rem, bands): what holds for all rows of a pattern; and (row, extra): rows with one copy more.
 
     ``rows`` have pattern (a number), names (its sources), row, u and size.
     """
@@ -203,7 +203,8 @@ def _decided(rows: DataFrame, weights: tuple[float, ...], share: float, most: in
         plan.append((r["pattern"], sizes.get(p[0], 0) if p else 0, asked.get(p[0], 0.0) if p else 0.0, whole if p else 0, flow[p] - whole * size if whole < most and p else 0.0))
     plan = materialise(rows.sparkSession.createDataFrame(plan, "pattern long, source_size long, target double, whole int, rem double"))
     bands, more = _filled(rows.select("pattern", "row", "u", "size"), plan)
-    return materialise(plan.join(bands, "pattern", "left")), more
+    # written, the few rows have a known size: they go to the documents, not the documents to them
+    return materialise(plan.join(bands, "pattern", "left")), materialise(more.select("row", F.lit(1).alias("extra")))
 
 
 def _copies(most: int) -> Column:
@@ -223,7 +224,7 @@ def mix(docs: DataFrame, sources: str = "sources", size: str = "size", content:
     chosen = docs.select("doc_id", F.col(sources).alias("sources"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), (F.col(content) if content else F.lit(0)).alias("content"))
     rows = materialise(_numbered(chosen.withColumn("names", _key(F.col("sources"))), seed))
     plan, more = _decided(rows, weights, share, most)
-    out = rows.join(F.broadcast(plan), "pattern").join(more.withColumn("extra", F.lit(1)), "row", "left").withColumn("copies", _copies(most))
+    out = rows.join(F.broadcast(plan), "pattern").join(more, "row", "left").withColumn("copies", _copies(most))
     return out.select("doc_id", "sources", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -260,6 +261,6 @@ def mixed(docs: DataFrame, memberships: tuple[str, ...] = ("source", "lang"), sh
     added = docs.select(F.struct(*(named(c).alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("given"), F.col("doc_id").alias("doc_id"), sources.alias("names"), _size(F.col("text")).alias("size"), F.xxhash64("text").alias("content"))
     rows = materialise(_numbered(added, SEED))
     plan, more = _decided(rows.drop("given"), WEIGHTS, share / len(memberships), MOST)
-    out = rows.join(F.broadcast(plan), "pattern").join(more.withColumn("extra", F.lit(1)), "row", "left").withColumn("copies", F.when(F.col("size") > 0, _copies(MOST)).otherwise(0)).filter("copies > 0")
+    out = rows.join(F.broadcast(plan), "pattern").join(more, "row", "left").withColumn("copies", F.when(F.col("size") > 0, _copies(MOST)).otherwise(0)).filter("copies > 0")
     name = "copies" if "copies" not in {c.lower() for c in docs.columns} else private(docs, "copies")[0]
     return out.select(*(F.col(f"given.c{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("copies").alias(name))
