@@ -59,7 +59,7 @@ def _paragraphs(lines: Column) -> Column:
 
 
 def units(messages: DataFrame) -> DataFrame:
-    """A row for each unit that can link: key, conv_id, turn, level, passage, hash, size (letters and digits of the unit).
+    """A row for each unit that can link: conv_id, turn, level, hash; of quoted ones also key, passage and size (letters and digits).
 
     A run of lines of one level is a passage. Its units are itself, its paragraphs if there are several, and its lines; of
     one's own words the paragraphs, the lines, and all of them together. Made within the row: only hashes move on.
@@ -79,7 +79,9 @@ def units(messages: DataFrame) -> DataFrame:
     every = F.concat(F.transform("runs", lambda r: F.struct(r["level"].alias("level"), r["passage"].alias("passage"), texts(r).alias("texts"))), F.array(whole))
     out = out.select("key", "conv_id", "turn", F.explode(every).alias("r")).select("key", "conv_id", "turn", "r.level", "r.passage", F.explode("r.texts").alias("line"))
     out = out.select("key", "conv_id", "turn", "level", "passage", normalised(F.col("line")).alias("line")).filter("line <> ''")
-    return out.select("key", "conv_id", "turn", "level", "passage", F.xxhash64("line", F.lit(3)).alias("hash"), F.length("line").alias("size"))
+    # what is said needs neither its message nor its size
+    quoted = lambda c: F.when(F.col("level") > 0, F.col(c)).alias(c)
+    return out.withColumns({"hash": F.xxhash64("line", F.lit(3)), "size": F.length("line")}).select(quoted("key"), "conv_id", "turn", "level", quoted("passage"), "hash", quoted("size"))
 
 
 def linked(every: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def linked(every: DataFrame) -> DataFrame:
     turn of the blocks before, so that a hash that is everywhere in a long conversation is split.
     """
     block, key = F.floor(F.col("turn") / BLOCK).alias("block"), ["conv_id", "hash"]
-    both = every.select(F.when(F.col("level") > 0, F.col("key")).alias("key"), *key, "turn", block, "level", "passage", "size")
+    both = every.select("key", *key, "turn", block, "level", "passage", "size")
     near = Window.partitionBy(*key, "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     inside = both.withColumn("near", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(near)).filter("level > 0")
     columns = ["key", "conv_id", "turn", "level", "passage", "size"]
