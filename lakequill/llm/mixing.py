@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,14 +128,14 @@ def _threshold(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
             return state, rows.join(F.broadcast(state), "pattern").filter("u >= lo and u < hi").select("pattern", "row", "u", "size", "rem")
 
 
-def fill(group: pd.DataFrame) -> pd.DataFrame:
+def fill(group: pa.Table) -> pa.Table:
     """Of the rows above the threshold, those that fit what is left, in the order of the hash."""
-    group = group.sort_values(["u", "row"])
-    left, taken = float(group["rem"].iloc[0]), []
-    for size in group["size"]:
+    group = group.sort_by([("u", "ascending"), ("row", "ascending")])
+    left, taken = group["rem"][0].as_py(), []
+    for size in group["size"].to_pylist():
         taken.append(0 < size <= left)
         left -= size if taken[-1] else 0
-    return group.loc[taken, ["pattern", "row", "size"]]
+    return group.filter(pa.array(taken, pa.bool_())).select(["pattern", "row", "size"])
 
 
 def _filled(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +150,7 @@ def _filled(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         usable = rows.join(F.broadcast(state), "pattern").filter("u >= start" if first else "u >= start and size > 0 and size <= rem").select("pattern", "row", "u", "size")
         cut, zone = _threshold(usable, state)
-        new = materialise(zone.groupBy("pattern").applyInPandas(fill, "pattern long, row long, size long"))
+        new = materialise(zone.groupBy("pattern").applyInArrow(fill, "pattern long, row long, size long"))
         ends = cut.select("pattern", F.col("lo").alias("end"))
         band = state.join(ends, "pattern", "left").select("pattern", F.struct("start", F.coalesce("end", F.lit(_RANGE)).alias("end"), (F.lit(float("inf")) if first else F.col("rem")).alias("most")).alias("band"))
         below = usable.join(F.broadcast(state.join(cut, "pattern", "left_anti")), "pattern").groupBy("pattern").agg(F.sum("size").alias("used"))
