@@ -126,8 +126,10 @@ def written(spans: Column) -> Column:
 def _occurrences(docs: DataFrame) -> DataFrame:
     """A narrow row per document: base entities and candidates with their places, values and patterns. Texts stay behind."""
     text = F.col("text")
+    # a key may happen to hold what passes for a card; but a base entity, or a part of one, is no candidate
+    within = lambda b, c: (c["start"] <= b["start"]) & (b["end"] <= c["end"]) & (b["end"] - b["start"] < c["end"] - c["start"])
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("base", _entities(text))
-    strings = F.filter(_found(text, CANDIDATE, lambda what: F.length(what) >= LEAST), lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    strings = F.filter(_found(text, CANDIDATE, lambda what: F.length(what) >= LEAST), lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]) & ~within(b, c)))
     candidates = F.when(text.rlike("[0-9]"), F.transform(strings, lambda c: _place(c, F.lit(len(KINDS)), c["what"].rlike(SHAPES).cast("int")))).otherwise(F.expr(f"cast(array() as {_AT})"))
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", candidates.alias("open")).withColumn("row", F.monotonically_increasing_id())
 

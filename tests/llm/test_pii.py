@@ -40,7 +40,7 @@ def brute_values(texts):
         base = [(int(a), int(b)) for _, a, b in (x.split(":") for x in brute(t).split(",") if x)]
         places = [(a, b, t[a:b], 1, False) for a, b in base]
         for m in regex.finditer(pii.CANDIDATE, t):
-            if len(m[0]) >= pii.LEAST and not any(a < m.end() and m.start() < b for a, b in base):
+            if len(m[0]) >= pii.LEAST and all(b <= m.start() or m.end() <= a or m.start() <= a and b <= m.end() and b - a < m.end() - m.start() for a, b in base):
                 places.append((m.start(), m.end(), m[0], int(bool(regex.match(pii.SHAPES, m[0]))), True))
         for a, b, what, seed, is_open in places:
             first, last = a + len(regex.match(r"[^\p{L}\p{N}]*", what)[0]), b - len(regex.search(r"[^\p{L}\p{N}]*$", what)[0])
@@ -135,10 +135,11 @@ def test_bootstrap_follows_chains_and_equals_brute_force(spark):
     texts = [f"mail is: me{i}@ex.org now" for i in range(80)]
     for step, (here, there) in enumerate([("is", "card"), ("card", "badge"), ("badge", "desk"), ("desk", "room")]):
         texts += [f"so {here}: v{step}-{i}77 then" for i in range(4)] + 20 * [f"so {there}: v{step}-{i}77 then" for i in range(4)]
+    texts += [f"is: me{i}@ex.org, key: a4111111111111111b{i} end" for i in range(4)] + [f"so room: a4111111111111111b{i} then" for i in range(2)]
     texts += ["so room: last-0099 then", "so lamp: other-0099 again", "", None, "mail is:  me@ex.org", *ODD]
     got = discovered(spark, texts)
     values = {texts[d][int(x.split(":")[1]) : int(x.split(":")[2])].lower() for d, x in got}
-    assert values == brute_values([t or "" for t in texts]) and {"v3-377", "last-0099"} <= values and "other-0099" not in values
+    assert values == brute_values([t or "" for t in texts]) and {"v3-377", "last-0099", "a4111111111111111b1"} <= values and "other-0099" not in values
 
 
 def test_redaction(spark):
