@@ -39,7 +39,8 @@ WORDS = frozenset(
     " footer foot masthead topbar toolbar sidebar sidebars aside rail widget widgets related recommended recommendations trending popular"
     " comment comments disqus respond replies reply discussion"
     " cookie cookies cookiebar cookiebanner cookienotice consent gdpr notice notices alert alerts warning popup modal overlay paywall newsletter subscribe subscription signup login"
-    " share sharing social copyright legal disclaimer search form".split()
+    " share sharing social copyright legal disclaimer search form hidden"
+    " commentlist commentform commentarea commentsection usercomments readercomments sitefooter pagefooter sitenav mainnav topnav subnav".split()
 )
 HEADER_WORDS = frozenset("header head top".split())
 #: Of an article rather than of a page.

@@ -193,6 +193,11 @@ def test_whole_table(spark):
 
 
 def test_awkward_rows(spark):
-    df = spark.createDataFrame([(1, None, None), (1, "u", "<p>x"), (None, "v", "")], "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
-    assert sorted(map(tuple, html_text.main_texts(df).collect()), key=repr) == sorted([(1, None, "", 0), (1, "u", "x", 1), (None, "v", "", 0)], key=repr)
+    long = "<p>word, word.</p>" * 50_000 + "<div>" * 3000 + "<p>word, last.</p>"
+    rows = [(1, None, None), (1, "u", "<p>x"), (1, "u", "<p>x"), (None, "v", ""), (2, "w", long), (3, None, "<div><p>Same words, here.</p></div><div><p>Same words, here.</p></div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")
+    whole = "\n".join(["word, word."] * 50_000)
+    got = sorted(map(tuple, html_text.main_texts(df).collect()), key=repr)
+    want = [(1, None, "", 0), (1, "u", "x", 1), (1, "u", "x", 1), (None, "v", "", 0), (3, None, "Same words, here.\nSame words, here.", 35)]
+    assert [r for r in got if r[0] != 2] == sorted(want, key=repr) and [r[2][: len(whole)] for r in got if r[0] == 2] == [whole]
     assert html_text.main_texts(df.limit(0)).count() == 0
