@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small, with_utf8
+from .common import materialise, mix, small, with_utf8
 
 #: At most about this many labelled rows are learned from, half of them of each class: shares by a hash of the id, alike in every run.
 MAX_TRAINING_ROWS = 16_000
@@ -41,11 +41,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     def below(rates: dict[int, float]) -> DataFrame:
         return rows.filter(at < F.when(F.col("y") == 1, int(rates.get(1, 1) * (1 << 30))).otherwise(int(rates.get(0, 1) * (1 << 30))))
 
-    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(below(rates)), "doc_id").groupBy("doc_id", "y").agg(F.max("size").alias("size"))
-    for r in sizes.groupBy("y").agg(F.sum("size").alias("size")).collect():
+    # the sample's ids are few, whatever there is; texts are compared only where one repeats
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(below(rates)), "doc_id").groupBy("doc_id", "y").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    sizes = materialise(sizes)
+    several = False
+    for r in sizes.groupBy("y").agg(F.sum("size").alias("size"), F.max("rows").alias("rows")).collect():
         rates[r["y"]] *= min(1.0, most_bytes / 2 / max(1, r["size"] or 0))
-    sample = with_utf8(docs.select("doc_id", "text")).join(F.broadcast(below(rates)), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    return sample, math.log(rates.get(0, 1.0) / rates.get(1, 1.0))
+        several |= r["rows"] > 1
+    picked = sizes.join(F.broadcast(below(rates)), ["doc_id", "y"], "left_semi").select("doc_id", "y", "rows")
+    sample = with_utf8(docs.select("doc_id", "text")).join(F.broadcast(picked), "doc_id")
+    if several:
+        least = sample.filter("rows > 1").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+        sample = sample.filter("rows = 1").select("doc_id", "y", "text").unionByName(least)
+    return sample.select("doc_id", "y", "text"), math.log(rates.get(0, 1.0) / rates.get(1, 1.0))
 
 
 def trained(rows: DataFrame, features: Callable[[bytes], np.ndarray], fit: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
